@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -69,3 +70,12 @@ def keep_rows(docs: DataFrame, kept_ids: DataFrame, key: str = "doc_id") -> Data
     """Rows of ``docs`` whose key is in ``kept_ids`` (distinct keys); a null key matches a null key."""
     ids = kept_ids.select(F.col(key).alias("__kept"))
     return docs.join(ids, docs[key].eqNullSafe(ids["__kept"]), "left_semi")
+
+
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    held = env.get("PYTHONPATH", "")
+    if root not in held.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (root, held) if x)

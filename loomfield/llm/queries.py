@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from . import recipes, shards
+from . import bpe, packing, recipes, shards
 from .common import documents
 
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 QUERIES = {
+    "op1_byte_bpe": lambda spark, d: bpe.round_trip_digests(documents(spark, d), _vocabulary("byte_bpe_multi_50k.tiktoken")),
     "op7_exact_recipes": lambda spark, d: recipes.exact_groups(documents(spark, d)),
     "op8_hypergeometric_shards": lambda spark, d: shards.shard_documents(documents(spark, d)),
+    "op10_best_fit_packing": lambda spark, d: packing.pack_documents(documents(spark, d), _vocabulary("byte_bpe_50k.json")),
 }
 
 ORACLES = {
