@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, packing, recipes, shards
+from . import bpe, minhash, packing, recipes, shards
 from .common import documents
 
 
@@ -14,6 +14,7 @@ def _vocabulary(name: str) -> str:
 
 QUERIES = {
     "op1_byte_bpe": lambda spark, d: bpe.round_trip_digests(documents(spark, d), _vocabulary("byte_bpe_multi_50k.tiktoken")),
+    "op4_tensored_minhash": lambda spark, d: minhash.near_duplicates(documents(spark, d), width=2),
     "op7_exact_recipes": lambda spark, d: recipes.exact_groups(documents(spark, d)),
     "op8_hypergeometric_shards": lambda spark, d: shards.shard_documents(documents(spark, d)),
     "op10_best_fit_packing": lambda spark, d: packing.pack_documents(documents(spark, d), _vocabulary("byte_bpe_50k.json")),
