@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, minhash, packing, recipes, shards
+from . import bpe, chat, minhash, packing, recipes, shards, spotsigs, urlgraph
 from .common import documents
 
 
@@ -14,9 +14,12 @@ def _vocabulary(name: str) -> str:
 
 QUERIES = {
     "op1_byte_bpe": lambda spark, d: bpe.round_trip_digests(documents(spark, d), _vocabulary("byte_bpe_multi_50k.tiktoken")),
+    "op2_spot_signatures": lambda spark, d: spotsigs.compare_with_next(documents(spark, d)),
+    "op3_link_propagation": lambda spark, d: urlgraph.judge_pages(spark.read.parquet(f"{d}/pages.parquet")),
     "op4_tensored_minhash": lambda spark, d: minhash.near_duplicates(documents(spark, d), width=2),
     "op7_exact_recipes": lambda spark, d: recipes.exact_groups(documents(spark, d)),
     "op8_hypergeometric_shards": lambda spark, d: shards.shard_documents(documents(spark, d)),
+    "op9_preference_format": lambda spark, d: chat.preference_examples(spark.read.parquet(f"{d}/conversations.parquet")),
     "op10_best_fit_packing": lambda spark, d: packing.pack_documents(documents(spark, d), _vocabulary("byte_bpe_50k.json")),
 }
 
@@ -29,5 +32,28 @@ WITH t AS (
 )
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, sha256(t.norm) AS text_sha256
 FROM t JOIN g USING (norm)
+""",
+    "op9_preference_format": """
+WITH t AS (
+  SELECT conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), l AS (
+  SELECT conv_id, turns, list_max(list_transform(turns, lambda x, i: CASE WHEN x.role = 'assistant' THEN i END)) AS n FROM t
+), c AS (
+  SELECT conv_id, turns[1:n] AS chosen, n, turns[n].text AS reply FROM l WHERE n IS NOT NULL
+), p AS (
+  SELECT a.conv_id AS pair_id, a.n, a.chosen, coalesce(b.reply, '') AS other, a.reply
+  FROM c a LEFT JOIN c b ON xor(a.conv_id, 1) = b.conv_id
+), k AS (
+  -- the two sides differ in the last turn's text at most
+  SELECT pair_id, chosen, n, other, reply, CASE WHEN other = reply THEN n ELSE n - 1 END AS k FROM p
+)
+SELECT pair_id, k::INT AS prompt_turns,
+  coalesce(array_to_string(list_transform(chosen[1:k], lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), ''), '') AS prompt,
+  CASE WHEN k = n THEN '' ELSE '<|assistant|>' || chr(10) || reply || '<|end|>' || chr(10) END AS chosen,
+  CASE WHEN k = n THEN '' ELSE '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) END AS rejected,
+  CASE WHEN k = n THEN '' ELSE '14-' || (14 + length(reply) + 7) END AS chosen_spans,
+  CASE WHEN k = n THEN '' ELSE '14-' || (14 + length(other) + 7) END AS rejected_spans
+FROM k
 """,
 }
