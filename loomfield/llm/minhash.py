@@ -10,13 +10,14 @@ Candidates. Documents with equal sets form one class first. A table key can only
 be shared where both its sub-keys are, so sub-keys that one class alone has are
 dropped before pairs of them are formed; for most documents nothing remains.
 Within a bucket no pairs are enumerated: each member is compared with the
-bucket's pivot, the member that comes first in one global random order. Linked
-classes are contracted; buckets that still hold several components get further
-pivot rounds under other orders, until the pairs that remain between components
-of a bucket are at most ``residual_factor`` times the classes in question; those are then all
-compared. So every pair that shares a table key ends in one component or was
-compared: nothing is capped, and a group of n near copies costs about n
-comparisons a round.
+bucket's pivot, the member that comes first in a random order. Linked classes
+are contracted; buckets that still hold several components get further pivot
+rounds under other orders, until a round links less than one in ``least_gain``
+of its pairs. The pairs that remain between components of a bucket are then
+narrowed down by an exact prefix and position bound on the whole sets and all
+compared, once each. So every pair that shares a table key ends in one component
+or is known to be no link: nothing is capped, and a group of n near copies costs
+about n comparisons a round.
 
 Defined cases: a text without words (null, empty, white space) has no shingles
 and is linked with nothing. A text with fewer words than ``width`` has its whole
@@ -106,14 +107,19 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("id"), text_of().alias("text")).mapInArrow(run, "id long, n long, s array<long>")
 
 
-def table_rows(classes: DataFrame, halves: int) -> DataFrame:
-    """(id, key): a row for each table key of a class whose two sub-keys other classes have too. classes: id, keys."""
-    sub = classes.select("id", F.posexplode("keys").alias("pos", "val")).withColumn("h", F.xxhash64("pos", "val"))
+def shared_sides(classes: DataFrame, halves: int) -> DataFrame:
+    """(id, n, x, y): of each class the sub-keys of both collections that other classes have too. classes: id, n, keys."""
+    sub = classes.select("id", "n", F.posexplode("keys").alias("pos", "val")).withColumn("h", F.xxhash64("pos", "val"))
     shared = sub.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("sh"))
     kept = sub.join(shared, F.col("h") == F.col("sh"), "left_semi")
     first, second = F.col("pos") < halves, F.col("pos") >= halves
-    sides = kept.groupBy("id").agg(F.collect_set(F.when(first, F.col("h"))).alias("x"), F.collect_set(F.when(second, F.col("h"))).alias("y"))  # at most `halves` each
-    return sides.select("id", F.explode("x").alias("x"), "y").select("id", "x", F.explode("y").alias("y")).select("id", F.xxhash64("x", "y").alias("key"))
+    sides = kept.groupBy("id", "n").agg(F.collect_set(F.when(first, F.col("h"))).alias("x"), F.collect_set(F.when(second, F.col("h"))).alias("y"))  # at most `halves` each
+    return sides.where("size(x) > 0 and size(y) > 0")
+
+
+def table_rows(sides: DataFrame) -> DataFrame:
+    """(id, n, key): a row for each pair of sub-keys, one of each collection."""
+    return sides.select("id", "n", F.explode("x").alias("x"), "y").select("id", "n", "x", F.explode("y").alias("y")).select("id", "n", F.xxhash64("x", "y").alias("key"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -126,53 +132,73 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.withColumn("__i", common).where(100 * F.col("__i") >= percent * (F.col("na") + F.col("nb") - F.col("__i"))).select("a", "b")
 
 
-def near_links(docs: DataFrame, classes: DataFrame, width: int, halves: int, percent: int, residual_factor: int = 4) -> DataFrame:
-    """(node, component) over class ids. classes: id, keys."""
-    tables = cut(table_rows(classes, halves))
+def near_links(docs: DataFrame, classes: DataFrame, width: int, halves: int, percent: int, least_gain: int = 10) -> DataFrame:
+    """(node, component) over class ids. classes: id, n, keys."""
+    tables = cut(table_rows(shared_sides(classes, halves)))
     busy = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"))
-    tables = cut(tables.join(busy, F.col("key") == F.col("k"), "left_semi"))
-    ids = tables.select("id").distinct()
+    rest = cut(tables.join(busy, F.col("key") == F.col("k"), "left_semi").withColumn("comp", F.col("id")))
+    ids = cut(rest.select("id").distinct())
     sets = cut(full_sets(keep_rows(docs, ids.withColumnRenamed("id", "doc_id")).dropDuplicates(["doc_id"]), width))
-    n_ids = sets.count()
+    alike = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
     found = comp = None
-    rest = tables.withColumn("comp", F.col("id"))
-    turn = 0
+    turn, stuck = 0, False
     while True:
-        # what is left between components of one bucket
-        sized = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("sq"), F.count(F.lit(1)).alias("m")).where("m > 1")
-        sized = cut(sized)
-        todo, buckets = sized.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("sq")) / 2), F.lit(0.0)), F.count(F.lit(1))).first()
-        if not buckets:
+        # buckets that still hold several components; each has a largest one, and minor rows besides it
+        each = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        sized = cut(each.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+        if sized.isEmpty():
             break
-        rest = cut(rest.join(sized.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi").select("id", "key", "comp"))
-        last = todo <= residual_factor * n_ids or turn == 12
-        if last:
-            other = rest.select(F.col("id").alias("id2"), F.col("comp").alias("comp2"), F.col("key").alias("k"))
-            pairs = rest.join(other, (F.col("key") == F.col("k")) & (F.col("comp") < F.col("comp2"))).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+        named = sized.select(F.col("key").alias("k"), F.col("most.comp").alias("main"))
+        rest = cut(rest.join(named, F.col("key") == F.col("k")).select("id", "n", "key", "comp", "main"))
+        if stuck:
+            pairs = _remaining_pairs(rest, sets, percent)
         else:
-            order = F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), F.col("id").alias("p"), F.col("comp").alias("pc"))
-            pivots = rest.groupBy("key").agg(F.min(order).alias("first")).select(F.col("key").alias("k"), "first.p", "first.pc")
-            pairs = rest.join(pivots, F.col("key") == F.col("k")).where("comp <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        links = confirm(pairs, sets, percent)
+            # one order for all buckets, so that a group has few pivots
+            order = F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
+            pivots = rest.groupBy("key").agg(F.min(order).alias("first")).select(F.col("key").alias("k"), "first.p", "first.pn", "first.pc")
+            pairs = rest.join(pivots, F.col("key") == F.col("k")).where((F.col("comp") != F.col("pc")) & alike("n", "pn")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
+        pairs = cut(pairs)
+        links = cut(confirm(pairs, sets, percent))
+        last, stuck = stuck, least_gain * links.count() < pairs.count()
         found = cut(links if found is None else found.select("a", "b").union(links))
         comp = components(found)
         if last:
             break
-        named = comp.select(F.col("node").alias("nid"), F.col("component").alias("nc"))
-        rest = cut(rest.join(named, F.col("id") == F.col("nid"), "left").select("id", "key", F.coalesce("nc", "id").alias("comp")))
+        now = comp.select(F.col("node").alias("nid"), F.col("component").alias("nc"))
+        rest = cut(rest.join(now, F.col("id") == F.col("nid"), "left").select("id", "n", "key", F.coalesce("nc", "id").alias("comp")))
         found = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")  # as much as the links say
         turn += 1
     return comp if comp is not None else ids.select(F.col("id").alias("node"), F.col("id").alias("component"))
 
 
+def _remaining_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) between components of one bucket that can still be links, each once.
+
+    One of the two is minor in their bucket, so minor rows are joined with all. With its elements in order of rarity, a set of
+    n elements must share one of its first n - ceil(percent x n / 100) + 1 with any set it is linked to, and from the first
+    shared element on both must have enough elements left for the overlap that a link needs.
+    """
+    who = rest.groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor"))
+    elements = cut(who.join(sets.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid")).select("id", "n", "comp", "minor", F.explode("s").alias("h")))
+    spread = elements.groupBy("h").agg(F.count(F.lit(1)).alias("df")).select(F.col("h").alias("e"), "df")
+    ordered = elements.join(spread, F.col("h") == F.col("e")).groupBy("id", "n", "comp", "minor").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
+    head = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100 - F.lit(1e-9)) + 1
+    full = cut(ordered.select("id", "n", "comp", "minor", F.posexplode(F.slice("o", F.lit(1), head.cast("int"))).alias("pos", "t")).where("t.df > 1").select("id", "n", "comp", "minor", (F.col("n") - F.col("pos")).alias("left"), F.col("t.h").alias("h")))
+    one = full.where("minor").select(*[F.col(c).alias(f"{c}1") for c in ("id", "n", "comp", "left", "h")])
+    once = ~F.col("minor") | (F.col("id1") < F.col("id"))
+    enough = (100 + percent) * F.least("left1", "left") >= percent * (F.col("n1") + F.col("n"))
+    joined = one.join(full, (F.col("h1") == F.col("h")) & (F.col("comp1") != F.col("comp")) & once & enough)
+    return joined.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     sigs = cut(signatures(docs, width, halves, rows))
     usable = sigs.where("set_key is not null and doc_id is not null")
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "keys")).alias("first")).select("set_key", "id", F.col("first.keys").alias("keys"))
+    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "n_shingles", "keys")).alias("first")).select("set_key", "id", F.col("first.n_shingles").alias("n"), F.col("first.keys").alias("keys"))
     classes = cut(classes)
-    comp = near_links(docs, classes.select("id", "keys"), width, halves, percent)
+    comp = near_links(docs, classes.select("id", "n", "keys"), width, halves, percent)
     named = classes.select("set_key", "id").join(comp, F.col("id") == F.col("node"), "left").select(F.col("set_key").alias("__key"), F.coalesce("component", "id").alias("__c"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, F.col("set_key") == F.col("__key"), "left")
     # rows repeated with one doc_id and different texts keep their own rows
