@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, minhash, packing, recipes, rules, shards, spotsigs, urlgraph
+from . import bpe, chat, minhash, packing, recipes, rules, shards, spotsigs, toxicity, urlgraph
 from .common import documents
 
 
@@ -16,16 +16,24 @@ def _labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_byte_bpe": lambda spark, d: bpe.round_trip_digests(documents(spark, d), _vocabulary("byte_bpe_multi_50k.tiktoken")),
     "op2_spot_signatures": lambda spark, d: spotsigs.compare_with_next(documents(spark, d)),
     "op3_link_propagation": lambda spark, d: urlgraph.judge_pages(spark.read.parquet(f"{d}/pages.parquet")),
     "op4_tensored_minhash": lambda spark, d: minhash.near_duplicates(documents(spark, d), width=2),
     "op5_rule_quality": lambda spark, d: rules.score_documents(documents(spark, d), _labels(spark, d)),
+    "op6_subword_toxicity": lambda spark, d: toxicity.score_documents(documents(spark, d), _labels(spark, d)),
     "op7_exact_recipes": lambda spark, d: recipes.exact_groups(documents(spark, d)),
     "op8_hypergeometric_shards": lambda spark, d: shards.shard_documents(documents(spark, d)),
     "op9_preference_format": lambda spark, d: chat.preference_examples(spark.read.parquet(f"{d}/conversations.parquet")),
     "op10_best_fit_packing": lambda spark, d: packing.pack_documents(documents(spark, d), _vocabulary("byte_bpe_50k.json")),
+    "pipeline": _pipeline,
 }
 
 ORACLES = {
