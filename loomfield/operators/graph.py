@@ -4,15 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or a folder of our own where that is unset (tests)."""
+    own = spark.conf.get("spark.checkpoint.dir", None)
+    if own is None:
+        own = getattr(shared_folder, "own", None) or "file://" + tempfile.mkdtemp(prefix="loomfield-")
+        shared_folder.own = own
+    return own.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in ``spark.checkpoint.dir``, or in a folder of our own where that is unset (tests)."""
+    """Reliable checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomfield-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

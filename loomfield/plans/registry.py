@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from loomfield.plans import corpus_queries, text_queries  # noqa: F401
+    from loomfield.plans import corpus_queries, log_queries, text_queries  # noqa: F401
 
 
 _load()
