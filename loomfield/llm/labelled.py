@@ -32,7 +32,8 @@ def sample_labels(labels: DataFrame, label: str, rows: int) -> DataFrame:
 def sample_documents(docs: DataFrame, chosen: list, columns: list[Column]) -> DataFrame:
     """``columns`` of the documents with an id in ``chosen`` (doc_id, y), and y. ``chosen`` is the bounded sample, so it may be broadcast."""
     small = docs.sparkSession.createDataFrame([(int(i), int(y)) for i, y in chosen], "__id long, y int")
-    return docs.join(F.broadcast(small), F.col("doc_id") == F.col("__id")).select("doc_id", "y", *columns)
+    joined = docs.select(F.col("doc_id").alias("__doc"), *[c for c in docs.columns if c == "text"]).join(F.broadcast(small), F.col("__doc") == F.col("__id"))
+    return joined.select(F.col("__doc").alias("doc_id"), "y", *columns)
 
 
 def drop_rejected(docs: DataFrame, kept: DataFrame) -> DataFrame:

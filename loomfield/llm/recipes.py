@@ -22,7 +22,7 @@ and share ``kept``. Empty tables give empty results. Other columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, keep_rows, text_of
@@ -60,21 +60,18 @@ def recipes(docs: DataFrame, chunk_hash=_hash, **sizes) -> DataFrame:
     if bad.isEmpty():  # each hash names one chunk text: the hashes are the verified identifiers
         return plain
     # A hash with several texts: number them, and append the number to the hash in every list.
-    pieces = docs.select("doc_id", ascii_lower(text_of()).alias("norm")).select(
-        "doc_id", F.length("norm").cast("long").alias("n_chars"), F.sha2("norm", 256).alias("text_sha256"), F.posexplode_outer(chunk_column(F.col("norm"), **sizes)).alias("pos", "chunk")
+    pieces = docs.select(ascii_lower(text_of()).alias("norm")).select(
+        F.length("norm").cast("long").alias("n_chars"), F.sha2("norm", 256).alias("text_sha256"), F.posexplode_outer(chunk_column(F.col("norm"), **sizes)).alias("pos", "chunk")
     )
     pieces = pieces.withColumn("h", chunk_hash(F.col("chunk")))
     rivals = pieces.select("h", "chunk").distinct().join(bad, F.col("h") == F.col("bad"), "left_semi")
-    from pyspark.sql import Window
-
     numbered = rivals.withColumn("k", F.row_number().over(Window.partitionBy("h").orderBy("chunk"))).select(F.col("h").alias("rh"), F.col("chunk").alias("rc"), "k")
     pieces = pieces.join(numbered, (F.col("h") == F.col("rh")) & (F.col("chunk") == F.col("rc")), "left")
     entry = F.struct("pos", "h", F.coalesce("k", F.lit(1)).alias("k"))
-    return (
-        pieces.groupBy("doc_id", "n_chars", "text_sha256")
-        .agg(F.array_sort(F.collect_set(F.when(F.col("pos").isNotNull(), entry))).alias("e"))
-        .select("doc_id", "n_chars", F.flatten(F.transform("e", lambda x: F.array(x["h"], x["k"].cast("long")))).alias("recipe"), "text_sha256")
-    )
+    lists = pieces.groupBy(F.col("text_sha256").alias("__t"), F.col("n_chars").alias("__n")).agg(F.sort_array(F.collect_set(F.when(F.col("pos").isNotNull(), entry))).alias("e"))
+    lists = lists.select("__t", "__n", F.flatten(F.transform("e", lambda x: F.array(x["h"], x["k"].cast("long")))).alias("recipe"))
+    every = plain.select("doc_id", "n_chars", "text_sha256")
+    return every.join(lists, (F.col("text_sha256") == F.col("__t")) & (F.col("n_chars") == F.col("__n"))).select("doc_id", "n_chars", "recipe", "text_sha256")
 
 
 def exact_groups(docs: DataFrame, chunk_hash=_hash, **sizes) -> DataFrame:
