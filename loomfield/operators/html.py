@@ -8,7 +8,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from loomfield.functions.text import first_reason
 
@@ -61,11 +61,19 @@ def visible(pages: DataFrame) -> DataFrame:
     return pages.withColumn("visible", _visible_udf("html"))
 
 
-def decoded(raw: Column) -> Column:
-    """struct<text, encoding>: strict UTF-8 (with or without mark), else Windows-1251."""
-    ok = F.is_valid_utf8(raw.cast("string"))
-    utf = F.regexp_replace(F.decode(raw, "UTF-8"), "^﻿", "")
-    return F.when(ok, F.struct(utf.alias("text"), F.lit("utf-8").alias("encoding"))).otherwise(F.struct(F.decode(raw, "windows-1251").alias("text"), F.lit("windows-1251").alias("encoding")))
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("encoding", StringType())]))
+def decoded(raw: pd.Series) -> pd.DataFrame:
+    """text and encoding: strict UTF-8 (with or without mark), else strict Windows-1251 (no builtin decodes it), else null."""
+
+    def one(b):
+        for name, label in (("utf-8-sig", "utf-8"), ("cp1251", "windows-1251")):
+            try:
+                return bytes(b).decode(name), label
+            except UnicodeDecodeError:
+                pass
+        return None, None
+
+    return pd.DataFrame([one(b) if b is not None else (None, None) for b in raw], columns=["text", "encoding"])
 
 
 def body_lines(text: Column, title: str, footer: str) -> Column:

@@ -21,8 +21,8 @@ def chrf(pairs: DataFrame, by: list[str], order: int = CHRF_ORDER, beta: float =
     flat = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\s", "")
     p = pairs.select(*by, "seg", once(flat(F.col("pred"))).alias("p"), once(flat(F.col("ref"))).alias("r")).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(order)))).where(F.length("r") >= F.col("k"))
     grams = lambda c: F.when(F.length(c) >= F.col("k"), F.transform(F.sequence(F.lit(1), F.length(c) - F.col("k") + 1), lambda i: F.substring(F.col(c), i, F.col("k")))).otherwise(F.array().cast("array<string>"))
-    side = lambda c, x, y: p.select(*by, "seg", "k", F.explode(grams(c)).alias("g"), F.lit(x).alias("x"), F.lit(y).alias("y"))
-    counts = side("p", 1, 0).union(side("r", 0, 1)).groupBy(*by, "seg", "k", "g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    side = lambda c, x, y: p.select(*by, "seg", "k", F.explode(grams(c)).alias("__g"), F.lit(x).alias("x"), F.lit(y).alias("y"))
+    counts = side("p", 1, 0).union(side("r", 0, 1)).groupBy(*by, "seg", "k", "__g").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     pooled = counts.groupBy(*by, "k").agg(F.sum(F.least("x", "y")).alias("m"), F.sum("x").alias("x"), F.sum("y").alias("y"))
     rate = lambda a, b: F.avg(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0))
     s = pooled.groupBy(*by).agg(rate("m", "x").alias("precision"), rate("m", "y").alias("recall"))

@@ -119,8 +119,17 @@ def assess(docs: DataFrame, text: str = "text", code: bool = False) -> DataFrame
     return withf.withColumn("d", once(decide(F.col("f"), CODE if code else NATURAL, code)))
 
 
+REASONS = """
+invalid_replacement_character disallowed_control_character too_short too_long empty_or_whitespace high_symbol_ratio high_line_repetition high_url_density
+high_template_density high_boilerplate_density unexpected_script_density low_token_diversity dominant_token_repetition insufficient_code_structure
+""".split()
+
+
 def reason_histogram(assessed: DataFrame) -> DataFrame:
-    return assessed.select(F.explode("d.reasons").alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    """(reason, n) of the reasons that occur: one conditional count each, so no row is exploded."""
+    counts = assessed.agg(*[F.count_if(F.array_contains("d.reasons", F.lit(r))).alias(r) for r in REASONS])
+    pairs = F.array(*[F.struct(F.lit(r).alias("reason"), F.col(r).alias("n")) for r in REASONS])
+    return counts.select(F.inline(pairs)).where("n > 0")
 
 
 def mode_report(assessed: DataFrame, mode: str) -> DataFrame:
