@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -52,6 +53,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle and checkpoint files of tables that nothing refers to any more.
+
+    It does so when their handles are collected, which an idle driver heap may put off for the length of a whole job.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate table in the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, arrow_rows, cut, keep_rows, on_workers, text_of
+from .common import LOWER, UPPER, arrow_rows, cut, keep_rows, on_workers, release, text_of
 from .components import components
 
 WIDTH, HALVES, ROWS, PERCENT = 5, 12, 3, 80
@@ -139,6 +139,8 @@ def near_links(docs: DataFrame, classes: DataFrame, width: int, halves: int, per
     rest = cut(tables.join(busy, F.col("key") == F.col("k"), "left_semi").withColumn("comp", F.col("id")))
     ids = cut(rest.select("id").distinct())
     sets = cut(full_sets(keep_rows(docs, ids.withColumnRenamed("id", "doc_id")).dropDuplicates(["doc_id"]), width))
+    del tables, busy
+    release(docs.sparkSession)
     alike = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
     found = comp = None
@@ -169,6 +171,8 @@ def near_links(docs: DataFrame, classes: DataFrame, width: int, halves: int, per
         rest = cut(rest.join(now, F.col("id") == F.col("nid"), "left").select("id", "n", "key", F.coalesce("nc", "id").alias("comp")))
         found = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")  # as much as the links say
         turn += 1
+        del each, sized, named, pairs, links, now, order, pivots
+        release(docs.sparkSession)
     return comp if comp is not None else ids.select(F.col("id").alias("node"), F.col("id").alias("component"))
 
 
