@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep_rows, text_of
+from .common import ascii_lower, text_of
 
 MIN_CHUNK, MAX_CHUNK = 768, 8192
 
@@ -82,7 +82,12 @@ def exact_groups(docs: DataFrame, chunk_hash=_hash, **sizes) -> DataFrame:
 
 
 def keep_unique(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns; a row repeated with its doc_id stays once."""
-    kept = exact_groups(docs).where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    out = keep_rows(docs, kept)
-    return out if kept.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id"])
+    """The documents that stay, with all their columns; rows that repeat one doc_id and text stay once.
+
+    A decision belongs to an id and its text: null ids and ids with several texts are common to rows that are no copies.
+    """
+    kept = exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+    ids = kept.select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__kept_text"))
+    named = docs.withColumn("__text", F.sha2(ascii_lower(text_of()), 256))
+    out = named.join(ids, named["doc_id"].eqNullSafe(ids["__kept"]) & (named["__text"] == ids["__kept_text"]), "left_semi")
+    return (out if kept.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "__text"])).drop("__text")

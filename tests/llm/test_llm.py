@@ -259,6 +259,12 @@ def test_exact_groups(spark, docs, weak):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 8, 9, 10] and kept.columns == edge(spark).columns
 
 
+def test_keep_unique_decides_by_id_and_text(spark):
+    rows = [(None, "first", "x"), (None, "second", "x"), (None, "second", "x"), (None, "SHARED", "x"), (1, "shared", "x"), (7, "one", "x"), (7, "other", "x"), (7, "other", "y"), (3, "other", "x")]
+    kept = collections.Counter((r.doc_id, r.text.translate(LOWER)) for r in recipes.keep_unique(edge(spark, rows)).collect())
+    assert kept == collections.Counter([(None, "first"), (None, "second"), (1, "shared"), (7, "one"), (7, "other")])
+
+
 # 8 ---------------------------------------------------------------------------------------------------------------
 
 
