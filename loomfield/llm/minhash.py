@@ -162,7 +162,8 @@ def near_links(docs: DataFrame, classes: DataFrame, width: int, halves: int, per
             pairs = rest.join(pivots, F.col("key") == F.col("k")).where((F.col("comp") != F.col("pc")) & alike("n", "pn")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         pairs = cut(pairs)
         links = cut(confirm(pairs, sets, percent))
-        last, stuck = stuck, least_gain * links.count() < pairs.count()
+        linked = links.count()
+        last, stuck = stuck, linked == 0 or least_gain * linked < pairs.count()  # a round without a link changes nothing, so none may follow it
         found = cut(links if found is None else found.select("a", "b").union(links))
         comp = components(found)
         if last:

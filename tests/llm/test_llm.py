@@ -202,6 +202,15 @@ def test_minhash_equals_brute_force(spark, docs):
     assert minhash.near_duplicates(edge(spark).limit(0)).count() == 0
 
 
+def test_minhash_ends_where_sizes_rule_every_pair_out(spark, monkeypatch):
+    words = [f"w{i}" for i in range(101)]
+    rows = [(0, " ".join(words)), (1, " ".join(words[:71]))]  # 100 shingles and the first 70 of them
+    turns = []
+    monkeypatch.setattr(minhash, "components", lambda links, f=minhash.components: (turns.append(1), f(links))[1] if len(turns) < 4 else pytest.fail("rounds without a link go on"))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(0, 100, 0, True), (1, 70, 1, True)] and turns
+
+
 # 5, 6 ------------------------------------------------------------------------------------------------------------
 
 
