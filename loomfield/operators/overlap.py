@@ -107,15 +107,22 @@ def near_kind(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def near_pairs(docs: DataFrame) -> DataFrame:
-    """(a, b, kind): pairs under the near predicate. Token sets at Jaccard >= 0.75 share one of their rarest n - ceil(0.75 n) + 1 tokens."""
-    f = docs.select("doc_id", T.near_fold(F.coalesce("text", F.lit(""))).alias("fold"))
-    f = f.withColumn("tk", T.once(F.array_distinct(F.transform(T.word_tokens("fold"), lambda t: F.regexp_replace(t, r"[0-9]+", "#"))))).where(f"size(tk) > 0 and length(fold) >= {NEAR_CHARS}")
-    x = f.select("doc_id", F.size("tk").alias("n"), F.explode("tk").alias("t"))
+    """(a, b, kind): pairs under the near predicate.
+
+    Token sets at Jaccard >= 0.75 share one of their rarest n - ceil(0.75 n) + 1 tokens; template variants share their sequence of tokens with the digits masked.
+    """
+    f = docs.select("doc_id", T.near_fold(F.coalesce("text", F.lit(""))).alias("fold")).where(f"length(fold) >= {NEAR_CHARS}")
+    f = f.withColumn("w", T.once(T.word_tokens("fold"))).where("size(w) > 0")
+    x = f.select("doc_id", F.explode(F.array_distinct("w")).alias("t"), F.size(F.array_distinct("w")).alias("n"))
     df = x.groupBy("t").agg(F.count(F.lit(1)).alias("df"))
     w = Window.partitionBy("doc_id").orderBy("df", "t")
-    p = x.join(df, "t").withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * TOKEN_J * 0.9) + 1)
+    p = x.join(df, "t").withColumn("k", F.row_number().over(w)).where(F.col("k") <= F.col("n") - F.ceil(F.col("n") * TOKEN_J) + 1)
     a, b = p.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "t"), p.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "t")
-    pairs = a.join(b, "t").where("a < b and na * 0.6 <= nb and nb * 0.6 <= na").select("a", "b").distinct()
+    alike = a.join(b, "t").where(f"a < b and na * {TOKEN_J} <= nb and nb * {TOKEN_J} <= na").select("a", "b")
+    masked = F.sha2(F.array_join(F.transform("w", lambda t: F.regexp_replace(t, r"\p{Nd}+", "<NUM>")), " "), 256)
+    m = f.where(F.col("fold").rlike(r"\p{Nd}")).select("doc_id", F.xxhash64("fold").alias("h"), masked.alias("t"))
+    ma, mb = m.select(F.col("doc_id").alias("a"), F.col("h").alias("ha"), "t"), m.select(F.col("doc_id").alias("b"), F.col("h").alias("hb"), "t")
+    pairs = alike.union(ma.join(mb, "t").where("a < b and ha <> hb").select("a", "b")).distinct()  # equal folds are alike
     fa, fb = f.select(F.col("doc_id").alias("a"), F.col("fold").alias("fa")), f.select(F.col("doc_id").alias("b"), F.col("fold").alias("fb"))
     return pairs.join(fa, "a").join(fb, "b").withColumn("kind", near_kind("fa", "fb")).where("kind is not null").select("a", "b", "kind")
 

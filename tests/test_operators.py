@@ -120,6 +120,18 @@ def test_near_pairs(spark):
     assert got == {(0, 1): "TEMPLATE_NUMERIC_VARIANT", (0, 2): "MIRROR_CASEFOLD", (1, 2): "TEMPLATE_NUMERIC_VARIANT"}
 
 
+def test_near_pairs_of_number_heavy_texts(spark):
+    n = " ".join(str(12345678 + 1111111 * i) for i in range(7))
+    other = "alpha beta gamma delta epsilon " + " ".join(str(30000001 + i) for i in range(9))
+    texts = [n + " foo", n + " bar", other, re.sub("3000000", "4444444", other), "unlike the rest of the texts this one has words only and no digits"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.a, r.b): r.kind for r in overlap.near_pairs(docs).collect()}
+    kinds = overlap.near_kind.func
+    pairs = list(itertools.combinations(range(len(texts)), 2))
+    want = dict(zip(pairs, kinds(*[overlap.pd.Series([texts[p[k]] for p in pairs]) for k in (0, 1)])))
+    assert got == {p: k for p, k in want.items() if k} == {(0, 1): "NEAR_CHAR5_AND_TOKEN", (2, 3): "TEMPLATE_NUMERIC_VARIANT"}
+
+
 def test_capped_greedy_equals_loop(spark):
     rows = [(i, f"l{i % 3}", f"s{i % 7}") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, lang string, family string")
