@@ -19,8 +19,8 @@ def capped_greedy(rows: DataFrame, dims: dict[str, int], total: int, seed: str)
 
     A prefix that skips is not a running sum, so the fold is ordered. A row beyond the cap of its own value in any one dimension among
     better-ranked rows of equal values can never be taken: that prune is native and leaves at most total x values rows for the fold.
+    A pruned row's reason follows from the last row taken under each full cap and the full total, a table bounded by the total.
     """
-    first = next(iter(dims))
     ranked = rows.withColumn("__o", hash_rank(seed, F.col("doc_id")))
     same = Window.partitionBy(*dims).orderBy("__o", "doc_id")
     pruned = ranked.withColumn("__k", F.row_number().over(same))
@@ -39,7 +39,15 @@ def capped_greedy(rows: DataFrame, dims: dict[str, int], total: int, seed: str)
         return pd.DataFrame(out, columns=["doc_id", "chosen", "reason"])
 
     placed = hopeful.withColumn("__all", F.lit("all")).groupBy("__all").applyInPandas(fold, "doc_id long, chosen boolean, reason string")
-    return rows.select("doc_id").join(placed, "doc_id", "left").select("doc_id", F.coalesce("chosen", F.lit(False)).alias("chosen"), F.when(F.col("chosen"), None).otherwise(F.coalesce("reason", F.lit(first))).alias("reason"))
+    name = lambda d: F.concat(F.lit(f"{d}:"), F.coalesce(F.concat(F.lit("="), F.col(d).cast("string")), F.lit("")))
+    at = F.struct("__o", "doc_id")
+    counters = F.array(F.struct(F.lit(total).alias("cap"), F.lit("").alias("name")), *[F.struct(F.lit(cap).alias("cap"), name(d).alias("name")) for d, cap in dims.items()])
+    taken_rows = hopeful.join(placed.where("chosen").select("doc_id"), "doc_id", "left_semi").select(at.alias("at"), F.explode(counters).alias("c"))
+    full = taken_rows.groupBy("c").agg(F.count(F.lit(1)).alias("n"), F.max("at").alias("at")).where("n >= c.cap").agg(F.map_from_entries(F.collect_list(F.struct("c.name", "at"))).alias("__full"))
+    past = lambda cap, n: F.lit(cap <= 0) | F.coalesce(F.try_element_at("__full", n) < at, F.lit(False))
+    reason = F.coalesce(F.when(past(total, F.lit("")), F.lit("total")), *[F.when(past(cap, name(d)), F.lit(d)) for d, cap in dims.items()])
+    out = pruned.select("doc_id", "__o", *dims).join(placed, "doc_id", "left").crossJoin(F.broadcast(full))
+    return out.select("doc_id", F.coalesce("chosen", F.lit(False)).alias("chosen"), F.when(~F.coalesce("chosen", F.lit(False)), F.coalesce("reason", reason)).alias("reason"))
 
 
 def ranked_cap(rows: DataFrame, key: str, cap: int, seed: str) -> DataFrame:

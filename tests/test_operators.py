@@ -132,6 +132,20 @@ def test_near_pairs_of_number_heavy_texts(spark):
     assert got == {p: k for p, k in want.items() if k} == {(0, 1): "NEAR_CHAR5_AND_TOKEN", (2, 3): "TEMPLATE_NUMERIC_VARIANT"}
 
 
+def test_capped_greedy_reasons_equal_loop(spark):
+    rows = [(i, f"l{i % 2}", f"s{i % 4}" if i % 9 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, family string")
+    for dims, total in (({"lang": 20, "family": 9}, 45), ({"lang": 20, "family": 9}, 25), ({"lang": 12, "family": 9}, 100)):
+        used, want = {}, {}
+        for i, *values in sorted(rows, key=lambda r: hashlib.sha256(f"s:{r[0]}".encode()).hexdigest()):
+            full = "total" if list(want.values()).count(None) >= total else next((d for d, v in zip(dims, values) if used.get((d, v), 0) >= dims[d]), None)
+            want[i] = full
+            for d, v in zip(dims, values) if full is None else ():
+                used[d, v] = used.get((d, v), 0) + 1
+        got = select.capped_greedy(df, dims, total, "s").collect()
+        assert {r.doc_id: r.reason for r in got} == want and len(got) == len(rows) and all(r.chosen == (r.reason is None) for r in got)
+
+
 def test_capped_greedy_equals_loop(spark):
     rows = [(i, f"l{i % 3}", f"s{i % 7}") for i in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, lang string, family string")
