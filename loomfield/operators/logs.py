@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomfield.operators.graph import cut
+
 
 def latest(log: DataFrame, keys: list[str], at: str, now, tie: str) -> DataFrame:
     """Newest row of each key at ``now``: a struct maximum, combined on the map side."""
@@ -28,21 +30,19 @@ def live_memory(log: DataFrame, now: int, needle: str, most: int) -> DataFrame:
     return live.join(gone, "memory_id", "left_anti").orderBy(F.desc("confidence_ppm"), F.desc("created_at"), "memory_id").limit(most)
 
 
-def stale_facts(facts: DataFrame, now: int, rounds: int = 16) -> DataFrame:
+def stale_facts(facts: DataFrame, now: int) -> DataFrame:
     """fact_id, stale: not the latest of (subject, attribute), expired, from the future, or dependent on a stale fact.
 
-    Staleness spreads over dependency edges until nothing changes; the loop carries ids only.
+    Staleness spreads over dependency edges until nothing changes, however deep they go; the loop carries ids only.
     """
     newest = Window.partitionBy("subject_id", "attribute").orderBy(F.col("recorded_at").desc(), F.col("fact_id").desc())
     base = facts.withColumn("k", F.row_number().over(newest)).select("fact_id", ((F.col("k") > 1) | (F.col("expires_at") <= now) | (F.col("recorded_at") > now)).alias("s"), "depends_on")
-    edges = base.select("fact_id", F.explode("depends_on").alias("on"))
-    state = base.select("fact_id", "s")
-    n = -1
-    for _ in range(rounds):
+    edges = cut(base.select("fact_id", F.explode("depends_on").alias("on")))
+    state = cut(base.select("fact_id", "s"))
+    n, now_n = -1, state.where("s").count()
+    while now_n != n:
+        n = now_n
         bad = edges.join(state.where("s").select(F.col("fact_id").alias("on")), "on", "left_semi").select("fact_id").distinct().withColumn("h", F.lit(True))
-        state = state.join(bad, "fact_id", "left").select("fact_id", (F.col("s") | F.coalesce("h", F.lit(False))).alias("s"))
+        state = cut(state.join(bad, "fact_id", "left").select("fact_id", (F.col("s") | F.coalesce("h", F.lit(False))).alias("s")))
         now_n = state.where("s").count()
-        if now_n == n:
-            break
-        n = now_n
     return state.withColumnRenamed("s", "stale")

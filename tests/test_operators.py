@@ -190,6 +190,12 @@ def test_stale_facts(spark):
     assert {r.fact_id for r in logs.stale_facts(df, 50).where("stale").collect()} == {1, 3, 4}
 
 
+def test_stale_facts_spread_over_deep_lineages(spark):
+    rows = [(i, i, "x", 10, 20 if i == 0 else 100, [i - 1] if i else []) for i in range(20)] + [(50, 50, "x", 10, 100, [])]
+    df = spark.createDataFrame(rows, "fact_id long, subject_id long, attribute string, recorded_at long, expires_at long, depends_on array<long>")
+    assert {r.fact_id for r in logs.stale_facts(df, 50).where("stale").collect()} == set(range(20))
+
+
 def test_sources_and_sinks(spark, tmp_path):
     p = tmp_path / "a.jsonl"
     p.write_text('{"id":"1","text":"x"}\n\n{"id":"2","text":"y"}\n')
