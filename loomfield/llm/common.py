@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,23 +36,33 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where that is unset, one of our own, in local mode only."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own:
         return own
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     held = getattr(shared_dir, "_own", None)
     if held is None:
-        held = shared_dir._own = "file://" + tempfile.mkdtemp(prefix="loomfield-")
+        folder = tempfile.mkdtemp(prefix="loomfield-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        held = shared_dir._own = "file://" + folder
     return held
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: lineage ends at files that survive a lost executor."""
+    """Reliable checkpoint: lineage ends at files that survive a lost executor.
+
+    A checkpointed table keeps the size and the constraints that the optimizer derived for its plan. Sizes of joins are products,
+    so a loop over such tables squares them each round, until planning alone takes minutes. The table is therefore made anew
+    over the same rows, with no guess at its size: adaptive execution sees the real one.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    held = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
 def release(spark: SparkSession) -> None:
@@ -67,6 +79,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``scratch_path`` named."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def arrow_rows(spark: SparkSession, rows: int = 256) -> None:
     """Bound Arrow batches: whole texts can be long, so few rows go at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -76,12 +94,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def keep_rows(docs: DataFrame, kept_ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` whose key is in ``kept_ids`` (distinct keys); a null key matches a null key."""
-    ids = kept_ids.select(F.col(key).alias("__kept"))
-    return docs.join(ids, docs[key].eqNullSafe(ids["__kept"]), "left_semi")
-
-
 def on_workers(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))

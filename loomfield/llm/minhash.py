@@ -9,21 +9,18 @@ is missed with probability 2 x (1 - 0.8^3)^12 = 4e-4, at 0.9 with 5e-7.
 Candidates. Documents with equal sets form one class first. A table key can only
 be shared where both its sub-keys are, so sub-keys that one class alone has are
 dropped before pairs of them are formed; for most documents nothing remains.
-Within a bucket no pairs are enumerated: each member is compared with the
-bucket's pivot, the member that comes first in a random order. Linked classes
-are contracted; buckets that still hold several components get further pivot
-rounds under other orders, until a round links less than one in ``least_gain``
-of its pairs. The pairs that remain between components of a bucket are then
-narrowed down by an exact prefix and position bound on the whole sets and all
-compared, once each. So every pair that shares a table key ends in one component
-or is known to be no link: nothing is capped, and a group of n near copies costs
-about n comparisons a round.
+Classes that share a table key are then linked by ``links.linked``: pivot rounds,
+then an exact bound for the pairs that remain, all confirmed on whole sets.
 
 Defined cases: a text without words (null, empty, white space) has no shingles
 and is linked with nothing. A text with fewer words than ``width`` has its whole
 word sequence as its one shingle. A row with a null doc_id is linked with
-nothing and stays. Rows repeated with one doc_id fall in one component. Empty
-tables give empty results; other columns are ignored.
+nothing and stays. Rows that repeat one doc_id are documents of their own, each
+with the component of its own text: with equal texts the same one, with
+different texts as the texts are linked; the order of rows has no influence.
+``keep_representatives`` keeps one row of each component, the one with the
+smallest doc_id (ties: the smallest text hash). Very long texts count whole.
+Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,8 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, arrow_rows, cut, keep_rows, on_workers, release, text_of
-from .components import components
+from .common import LOWER, UPPER, arrow_rows, cut, on_workers, release, text_of
+from .links import busy, linked
 
 WIDTH, HALVES, ROWS, PERCENT = 5, 12, 3, 80
 _LOWER = bytes.maketrans(UPPER.encode(), LOWER.encode())
@@ -77,43 +74,47 @@ def signature(s: np.ndarray, halves: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int, halves: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_key, keys array<long>; set_key is a 128-bit hash of the set, null for an empty one."""
+    """doc_id, tie, n_shingles, set_key, keys array<long>; tie is a hash of the text, set_key a 128-bit hash of the set, null for an empty one."""
     arrow_rows(docs.sparkSession)
     on_workers(docs.sparkSession)
-    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.string()), ("keys", pa.list_(pa.int64()))])
+    kind = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.string()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             n, sets, keys = [], [], []
-            for text in batch.column(1).to_pylist():
+            for text in batch.column(2).to_pylist():
                 s = shingles(text, width)
                 n.append(len(s))
                 sets.append(xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None)
                 keys.append(signature(s, halves, rows).view(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.string()), pa.array(keys, pa.list_(pa.int64()))], schema=kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(sets, pa.string()), pa.array(keys, pa.list_(pa.int64()))], schema=kind)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key string, keys array<long>")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("tie"), text_of().alias("text")).mapInArrow(run, "doc_id long, tie long, n_shingles long, set_key string, keys array<long>")
 
 
-def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, n, s): the whole shingle sets as sorted arrays of 64-bit hashes."""
+def full_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, n, s): the whole shingle sets of ``wanted`` (id, doc, set_key) as sorted arrays of 64-bit hashes. A text of that id with another set is not the one."""
     kind = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("s", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(t, width).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=kind)
+            ids, sets = [], []
+            for i, key, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                s = shingles(text, width)
+                if xxhash.xxh3_128_hexdigest(s.tobytes()) == key:
+                    ids.append(i)
+                    sets.append(s.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], schema=kind)
 
-    return docs.select(docs["doc_id"].cast("long").alias("id"), text_of().alias("text")).mapInArrow(run, "id long, n long, s array<long>")
+    thin = docs.select(docs["doc_id"].cast("long").alias("__doc"), text_of().alias("text"))
+    return thin.join(wanted, F.col("__doc") == F.col("doc")).select("id", "set_key", "text").mapInArrow(run, "id long, n long, s array<long>")
 
 
 def shared_sides(classes: DataFrame, halves: int) -> DataFrame:
     """(id, n, x, y): of each class the sub-keys of both collections that other classes have too. classes: id, n, keys."""
-    sub = classes.select("id", "n", F.posexplode("keys").alias("pos", "val")).withColumn("h", F.xxhash64("pos", "val"))
-    shared = sub.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("h").alias("sh"))
-    kept = sub.join(shared, F.col("h") == F.col("sh"), "left_semi")
+    sub = classes.select("id", "n", F.posexplode("keys").alias("pos", "val")).withColumn("key", F.xxhash64("pos", "val"))
     first, second = F.col("pos") < halves, F.col("pos") >= halves
-    sides = kept.groupBy("id", "n").agg(F.collect_set(F.when(first, F.col("h"))).alias("x"), F.collect_set(F.when(second, F.col("h"))).alias("y"))  # at most `halves` each
+    sides = busy(sub).groupBy("id", "n").agg(F.collect_set(F.when(first, F.col("key"))).alias("x"), F.collect_set(F.when(second, F.col("key"))).alias("y"))  # at most `halves` each
     return sides.where("size(x) > 0 and size(y) > 0")
 
 
@@ -122,96 +123,54 @@ def table_rows(sides: DataFrame) -> DataFrame:
     return sides.select("id", "n", F.explode("x").alias("x"), "y").select("id", "n", "x", F.explode("y").alias("y")).select("id", "n", F.xxhash64("x", "y").alias("key"))
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose whole sets are alike: 100 x intersection >= percent x union."""
-    left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    # sizes alone rule many pairs out, before any set moves
-    sized = pairs.join(left, "a").join(right, "b").where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
-    common = F.size(F.array_intersect("sa", "sb"))
-    return sized.withColumn("__i", common).where(100 * F.col("__i") >= percent * (F.col("na") + F.col("nb") - F.col("__i"))).select("a", "b")
-
-
-def near_links(docs: DataFrame, classes: DataFrame, width: int, halves: int, percent: int, least_gain: int = 10) -> DataFrame:
-    """(node, component) over class ids. classes: id, n, keys."""
-    tables = cut(table_rows(shared_sides(classes, halves)))
-    busy = tables.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"))
-    rest = cut(tables.join(busy, F.col("key") == F.col("k"), "left_semi").withColumn("comp", F.col("id")))
-    ids = cut(rest.select("id").distinct())
-    sets = cut(full_sets(keep_rows(docs, ids.withColumnRenamed("id", "doc_id")).dropDuplicates(["doc_id"]), width))
-    del tables, busy
-    release(docs.sparkSession)
-    alike = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
-
-    found = comp = None
-    turn, stuck = 0, False
-    while True:
-        # buckets that still hold several components; each has a largest one, and minor rows besides it
-        each = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        sized = cut(each.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("m")).where("m > 1"))
-        if sized.isEmpty():
-            break
-        named = sized.select(F.col("key").alias("k"), F.col("most.comp").alias("main"))
-        rest = cut(rest.join(named, F.col("key") == F.col("k")).select("id", "n", "key", "comp", "main"))
-        if stuck:
-            pairs = _remaining_pairs(rest, sets, percent)
-        else:
-            # one order for all buckets, so that a group has few pivots
-            order = F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-            pivots = rest.groupBy("key").agg(F.min(order).alias("first")).select(F.col("key").alias("k"), "first.p", "first.pn", "first.pc")
-            pairs = rest.join(pivots, F.col("key") == F.col("k")).where((F.col("comp") != F.col("pc")) & alike("n", "pn")).select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
-        pairs = cut(pairs)
-        links = cut(confirm(pairs, sets, percent))
-        linked = links.count()
-        last, stuck = stuck, linked == 0 or least_gain * linked < pairs.count()  # a round without a link changes nothing, so none may follow it
-        found = cut(links if found is None else found.select("a", "b").union(links))
-        comp = components(found)
-        if last:
-            break
-        now = comp.select(F.col("node").alias("nid"), F.col("component").alias("nc"))
-        rest = cut(rest.join(now, F.col("id") == F.col("nid"), "left").select("id", "n", "key", F.coalesce("nc", "id").alias("comp")))
-        found = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")  # as much as the links say
-        turn += 1
-        del each, sized, named, pairs, links, now, order, pivots
-        release(docs.sparkSession)
-    return comp if comp is not None else ids.select(F.col("id").alias("node"), F.col("id").alias("component"))
-
-
-def _remaining_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) between components of one bucket that can still be links, each once.
-
-    One of the two is minor in their bucket, so minor rows are joined with all. With its elements in order of rarity, a set of
-    n elements must share one of its first n - ceil(percent x n / 100) + 1 with any set it is linked to, and from the first
-    shared element on both must have enough elements left for the overlap that a link needs.
-    """
-    who = rest.groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor"))
-    elements = cut(who.join(sets.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid")).select("id", "n", "comp", "minor", F.explode("s").alias("h")))
-    spread = elements.groupBy("h").agg(F.count(F.lit(1)).alias("df")).select(F.col("h").alias("e"), "df")
-    ordered = elements.join(spread, F.col("h") == F.col("e")).groupBy("id", "n", "comp", "minor").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
-    head = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100 - F.lit(1e-9)) + 1
-    full = cut(ordered.select("id", "n", "comp", "minor", F.posexplode(F.slice("o", F.lit(1), head.cast("int"))).alias("pos", "t")).where("t.df > 1").select("id", "n", "comp", "minor", (F.col("n") - F.col("pos")).alias("left"), F.col("t.h").alias("h")))
-    one = full.where("minor").select(*[F.col(c).alias(f"{c}1") for c in ("id", "n", "comp", "left", "h")])
-    once = ~F.col("minor") | (F.col("id1") < F.col("id"))
-    enough = (100 + percent) * F.least("left1", "left") >= percent * (F.col("n1") + F.col("n"))
-    joined = one.join(full, (F.col("h1") == F.col("h")) & (F.col("comp1") != F.col("comp")) & once & enough)
-    return joined.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b")).distinct()
+def near_classes(docs: DataFrame, width: int, percent: int, halves: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """(sigs, named): the signatures of all rows, and for each set_key the smallest (doc_id, tie) of its component: set_key, doc, tie."""
+    spark = docs.sparkSession
+    sigs = cut(signatures(docs, width, halves, rows))
+    usable = sigs.where("set_key is not null and doc_id is not null")
+    # a class is named by a number of its own: one doc_id may stand on texts of several classes. The checkpoint fixes the numbers.
+    first = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "tie", "n_shingles", "keys")).alias("f"))
+    classes = cut(first.select(F.monotonically_increasing_id().alias("id"), "set_key", F.col("f.doc_id").alias("doc"), F.col("f.tie").alias("tie"), F.col("f.n_shingles").alias("n"), F.col("f.keys").alias("keys")))
+    tables = cut(table_rows(shared_sides(classes.select("id", "n", "keys"), halves)))
+    rest = cut(busy(tables))
+    wanted = classes.select("id", "doc", "set_key").join(rest.select(F.col("id").alias("b")).distinct(), F.col("id") == F.col("b"), "left_semi")
+    sets = full_sets(docs, wanted, width)
+    if not usable.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that repeat an id may give a set twice
+        sets = sets.dropDuplicates(["id"])
+    sets = cut(sets)
+    del tables, wanted
+    release(spark)
+    comp = linked(rest, sets, percent)
+    least = comp.join(classes.select("id", "doc", "tie"), F.col("node") == F.col("id")).groupBy("component", F.xxhash64("component")).agg(F.min(F.struct("doc", "tie")).alias("least")).select(F.col("component").alias("c"), "least")
+    joined = comp.join(least, F.col("component") == F.col("c")).select("node", "least")
+    own = F.struct("doc", "tie")
+    named = classes.join(joined, F.col("id") == F.col("node"), "left").select("set_key", F.coalesce("least", own).alias("least"))
+    return sigs, named.select("set_key", "least.doc", "least.tie")
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    sigs = cut(signatures(docs, width, halves, rows))
-    usable = sigs.where("set_key is not null and doc_id is not null")
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "n_shingles", "keys")).alias("first")).select("set_key", "id", F.col("first.n_shingles").alias("n"), F.col("first.keys").alias("keys"))
-    classes = cut(classes)
-    comp = near_links(docs, classes.select("id", "n", "keys"), width, halves, percent)
-    named = classes.select("set_key", "id").join(comp, F.col("id") == F.col("node"), "left").select(F.col("set_key").alias("__key"), F.coalesce("component", "id").alias("__c"))
+    sigs, named = near_classes(docs, width, percent, halves, rows)
+    named = named.select(F.col("set_key").alias("__key"), F.col("doc").alias("__c"))
     out = sigs.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key")).join(named, F.col("set_key") == F.col("__key"), "left")
-    # rows repeated with one doc_id and different texts keep their own rows
     component = F.coalesce("__c", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def keep_representatives(docs: DataFrame, **more) -> DataFrame:
-    """The documents that stay, one of each component, with all their columns."""
-    kept = near_duplicates(docs, **more).where("kept").select("doc_id").distinct()
-    return keep_rows(docs, kept)
+def keep_representatives(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
+    """The documents that stay, one row of each component and every row without an id or a word, with all their columns."""
+    sigs, named = near_classes(docs, width, percent, halves, rows)
+    best = named.select(F.col("set_key").alias("__key"), F.col("doc").alias("__doc"), F.col("tie").alias("__least"))
+    judged = sigs.select("doc_id", "tie", "set_key").where("set_key is not null and doc_id is not null").join(best, F.col("set_key") == F.col("__key"))
+    stays = (F.col("doc_id") == F.col("__doc")) & (F.col("tie") == F.col("__least"))
+    # a row goes unless it is its component's representative; decided by (doc_id, text hash), as an id may stand on several texts
+    decided = cut(judged.groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("c"), F.bool_or(stays).alias("stays")))
+    lost = decided.where("not stays").select(F.col("doc_id").alias("__lost"), F.col("tie").alias("__tie"))
+    text_hash = F.xxhash64(text_of())
+    marked = docs.withColumn("__text", text_hash)
+    out = marked.join(lost, (marked["doc_id"] == lost["__lost"]) & (marked["__text"] == lost["__tie"]), "left_anti")
+    twice = decided.where("stays and c > 1").select(F.col("doc_id").alias("__twice"), F.col("tie").alias("__tie"))
+    if not twice.isEmpty():
+        both = (out["doc_id"] == twice["__twice"]) & (out["__text"] == twice["__tie"])
+        out = out.join(twice, both, "left_anti").unionByName(out.join(twice, both, "left_semi").dropDuplicates(["doc_id", "__text"]))
+    return out.drop("__text")
