@@ -11,13 +11,16 @@ characters) move when documents are compared.
 
 Skew: chunks are combined on the map side before they move, so a chunk that a
 third of the corpus shares costs one row a task. Lists are grouped with a
-map-side maximum and count; the join that returns the result to each document
-is an equi-join whose hot key adaptive execution can split.
+map-side maximum and count; the groups get an exchange of their own (they are
+grouped by the list and its hash), so adaptive execution can split the partition
+of a hot list in the join that returns the result to each document.
 
 Defined cases: null text is the empty text, whose list is empty; all empty
 texts are equal. A null doc_id never wins over another; a group of null ids only
-has keep_id null and keeps them. Rows repeated with one doc_id are one document
-and share ``kept``. Empty tables give empty results. Other columns are ignored.
+has keep_id null and keeps them. Rows repeated with one doc_id and one text are
+one document and share ``kept``; rows of one doc_id with different texts are
+judged each by its own text. Very long texts are cut like others. Empty tables
+give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, text_of
+from .common import ascii_lower, cut, text_of
 
 MIN_CHUNK, MAX_CHUNK = 768, 8192
 
@@ -74,20 +77,33 @@ def recipes(docs: DataFrame, chunk_hash=_hash, **sizes) -> DataFrame:
     return every.join(lists, (F.col("text_sha256") == F.col("__t")) & (F.col("n_chars") == F.col("__n"))).select("doc_id", "n_chars", "recipe", "text_sha256")
 
 
+def _groups(rows: DataFrame) -> DataFrame:
+    """(n_chars, recipe, keep_id, group_size) of each list."""
+    return rows.groupBy("n_chars", "recipe", F.xxhash64("recipe")).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")).select("n_chars", "recipe", "keep_id", "group_size")
+
+
 def exact_groups(docs: DataFrame, chunk_hash=_hash, **sizes) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = recipes(docs, chunk_hash, **sizes)
-    groups = rows.groupBy("n_chars", "recipe").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, ["n_chars", "recipe"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return rows.join(_groups(rows), ["n_chars", "recipe"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def keep_unique(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns; rows that repeat one doc_id and text stay once.
 
-    A decision belongs to an id and its text: null ids and ids with several texts are common to rows that are no copies.
+    A decision belongs to an id and its text: null ids and ids with several texts are common to rows that are no copies. Only
+    the decisions on groups of two and more are written down, and rows are kept unless one names them.
     """
-    kept = exact_groups(docs).where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
-    ids = kept.select(F.col("doc_id").alias("__kept"), F.col("text_sha256").alias("__kept_text"))
+    rows = recipes(docs)
+    copies = rows.join(_groups(rows).where("group_size > 1"), ["n_chars", "recipe"])
+    decided = cut(copies.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays")))
     named = docs.withColumn("__text", F.sha2(ascii_lower(text_of()), 256))
-    out = named.join(ids, named["doc_id"].eqNullSafe(ids["__kept"]) & (named["__text"] == ids["__kept_text"]), "left_semi")
-    return (out if kept.where("n > 1").isEmpty() else out.dropDuplicates(["doc_id", "__text"])).drop("__text")
+
+    def among(which: str) -> tuple:
+        some = decided.where(which).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
+        return some, named["doc_id"].eqNullSafe(some["__id"]) & (named["__text"] == some["__sha"])
+
+    out = named.join(*among("not stays"), "left_anti")
+    if not decided.where("stays and n > 1").isEmpty():
+        out = out.join(*among("stays and n > 1"), "left_anti").unionByName(named.join(*among("stays and n > 1"), "left_semi").dropDuplicates(["doc_id", "__text"]))
+    return out.drop("__text")
