@@ -1,31 +1,36 @@
 """SpotSigs document fingerprints (DataFrame functions only).
 
 A text's words are runs of letters and digits of its lower-cased form. *Anchors*
-are common function words (``COMMON_WORDS``) and, so that texts without any of
-those have anchors too, words whose CRC-32 is divisible by ``RARE_ANCHOR``. All
-other words are content words. Each anchor with the ``CHAIN`` content words that
-follow it (fewer at the end, at least one) is one spot signature, kept as a
-31-bit hash; a text's fingerprint is its set of signatures. A text without any
-signature has the windows of ``CHAIN`` words at each of its words instead; a
-text without words has the empty fingerprint.
+are common function words (``COMMON_WORDS``); all other words are content words.
+Each anchor with the ``CHAIN`` content words that follow it (fewer at the end, at
+least one) is one spot signature, kept as a 31-bit hash; a text's fingerprint is
+its set of signatures. Stretches without any common word, such as tables and
+lists, would have no anchor: there, and only there (no common word within
+``REACH`` words), a word whose CRC-32 is divisible by ``RARE_ANCHOR`` is one. A
+text without any signature has the windows of ``CHAIN`` words at each of its
+words instead; a text without words has the empty fingerprint.
 
 The fingerprint is written as the set's sorted hexadecimal hashes, so equal
 texts have equal fingerprints and a likeness can be computed from two
 fingerprints alone: Jaccard similarity, 1 for two empty ones.
 
-``near_pairs`` finds all pairs of different fingerprints at ``threshold`` or
-more: sets are partitioned by length, as only sets whose lengths differ by at
-most the factor 1/threshold can reach it; within reach, candidates must share
-one of the first l - ceil(threshold x l) + 1 signatures in order of rarity, and
-are then compared on their whole sets.
+``near_classes`` finds what is alike at ``percent`` or more: sets are partitioned
+by length, as only sets whose lengths differ by at most the factor percent / 100
+can reach it, and within a partition candidates must share one of their first
+n - ceil(percent x n / 100) + 1 signatures. Such buckets are linked by
+``links.linked``, which prunes by size, prefix and position and compares whole
+sets.
 
 ``next_in_order`` gives each row its successor without one global window: ids
-are cut at quantiles into blocks of bounded size, the first row of each block
-also joins the block before it, and a window runs in each block.
+are cut at quantiles into blocks, the first row of each block also joins the
+block before it, and a window runs in each block. Blocks have some hundred rows
+and are at most ``most_blocks``; beyond that many they grow with the table, and
+their sort spills.
 
 Defined cases: null text is empty. Null doc_ids sort last. Rows that tie in
-doc_id are ordered by the text's hash. One row alone follows itself. Empty
-tables give empty results; other columns are ignored.
+doc_id are ordered by the text's hash. One row alone follows itself. A class of
+null doc_ids only is named null. Very long texts count whole. Empty tables give
+empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +40,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, text_of
+from .common import cut, let, release, text_of
+from .links import busy, linked
 
 # Frequent function words of English, German, French and Spanish.
 COMMON_WORDS = """
@@ -45,7 +51,7 @@ au aux avec ce ces cette comme dans de des du elle en est et il ils je la le les
 al como con cuando de del desde el ella en entre era es esta este fue ha hay la las le lo los mas me mi muy no nos o para pero por porque que se ser si sin sobre su sus también un una y ya
 """.split()
 
-CHAIN, RARE_ANCHOR = 3, 11
+CHAIN, RARE_ANCHOR, REACH, PERCENT = 3, 11, 8, 80
 
 
 def words_of(text: Column) -> Column:
@@ -53,8 +59,17 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
 
 
-def _is_anchor(word: Column) -> Column:
-    return word.isin(*sorted(set(COMMON_WORDS))) | (F.crc32(word.cast("binary")) % RARE_ANCHOR == 0)
+def _anchors(words: Column) -> Column:
+    """Whether each word is an anchor: common words, and rare ones with no common word within ``REACH`` words."""
+
+    def flags(common):
+        def one(x, i):
+            near = F.slice(common, F.greatest(i - REACH, F.lit(0)) + 1, F.least(i, F.lit(REACH)) + REACH + 1)
+            return F.when(x["c"], F.lit(True)).when(F.crc32(x["w"].cast("binary")) % RARE_ANCHOR == 0, ~F.exists(near, lambda c: c)).otherwise(F.lit(False))
+
+        return F.transform(F.zip_with(words, common, lambda w, c: F.struct(w.alias("w"), c.alias("c"))), one)
+
+    return let(F.transform(words, lambda w: w.isin(*sorted(set(COMMON_WORDS)))), flags)
 
 
 def _short(h: Column) -> Column:
@@ -67,7 +82,7 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
 
     def spots(words):
         # A run of content words before the j-th anchor moves its rank among content words to (position - j).
-        flagged = F.transform(words, lambda w: F.struct(w.alias("w"), _is_anchor(w).alias("a")))
+        flagged = F.zip_with(words, _anchors(words), lambda w, a: F.struct(w.alias("w"), a.alias("a")))
         return let(flagged, lambda f: let(F.filter(F.transform(f, lambda x, i: F.when(x["a"], i)), lambda i: i.isNotNull()), lambda at: let(F.filter(f, lambda x: ~x["a"]), lambda content: of(f, at, content))))
 
     def of(f, at, content):
@@ -95,8 +110,11 @@ def likeness(a: Column, b: Column) -> Column:
     return let(F.size(F.array_intersect(a, b)), lambda n: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
 
 
-def next_in_order(rows: DataFrame, key: str, ties: str, carry: dict[str, str], rows_per_block: int = 256, most_blocks: int = 16_384) -> DataFrame:
-    """``rows`` with the columns ``carry`` (name -> new name) of the next row in descending ``key``; the first follows the last."""
+def next_in_order(rows: DataFrame, key: str, ties: str, carry: dict[str, str], derive: dict[str, Column] | None = None, rows_per_block: int = 256, most_blocks: int = 16_384) -> DataFrame:
+    """``rows`` with the columns ``carry`` (name -> new name) of the next row in descending ``key``; the first follows the last.
+
+    Columns of ``derive`` are computed after the rows have moved, so that they need not move.
+    """
     keys = rows.select(F.col(key).cast("long").alias("k"))
     n = keys.count()
     blocks = max(1, min(most_blocks, math.ceil(n / rows_per_block)))
@@ -120,22 +138,54 @@ def next_in_order(rows: DataFrame, key: str, ties: str, carry: dict[str, str], r
     guest = F.struct(F.get(guest_of, F.col("__b")).alias("b"), F.lit(1).alias("guest"))
     dealt = placed.withColumn("__to", F.explode(F.when(is_top, F.array(own, guest)).otherwise(F.array(own)))).withColumn("__g", F.col("__to.guest")).withColumn("__b", F.col("__to.b")).drop("__to")
     w = Window.partitionBy("__b").orderBy("__g", F.col(key).desc_nulls_last(), ties)
-    led = dealt
+    led = dealt.repartition("__b").withColumns(derive or {})
     for name, new in carry.items():
         led = led.withColumn(new, F.lead(name).over(w))
     return led.where("__g = 0").drop("__b", "__g")
 
 
-def compare_with_next(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every document.
+def _class_key(sigs: Column) -> Column:
+    """128 bits that name a fingerprint."""
+    return F.struct(F.xxhash64(sigs).alias("k"), F.xxhash64(F.lit(1), sigs).alias("l"))
+
+
+def near_classes(docs: DataFrame, percent: int = PERCENT, chain: int = CHAIN) -> DataFrame:
+    """(k, l, class_id, component_id): a row a fingerprint, named by its class key; a reliable table.
+
+    class_id is the smallest doc_id with that fingerprint; component_id the smallest doc_id that can be reached over fingerprints
+    with a likeness of ``percent`` or more.
+    """
+    spark = docs.sparkSession
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(text_of(), chain).alias("s")).select("doc_id", "s", _class_key(F.col("s")).alias("key"))
+    first = rows.groupBy("key.k", "key.l").agg(F.min("doc_id").alias("class_id"), F.any_value("s").alias("s"))
+    classes = cut(first.select(F.monotonically_increasing_id().alias("id"), "k", "l", "class_id", "s", F.size("s").cast("long").alias("n")))
+    # the first signatures by value: an order that all sets share
+    head = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100 - F.lit(1e-9)) + 1
+    prefix = classes.where("n > 0").select("id", "n", F.explode(F.slice("s", F.lit(1), head.cast("int"))).alias("key"))
+    # partition number by set length: lengths within the factor are in the same or neighbouring partitions, so a set is in its own and the next
+    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100)) + F.lit(1e-9))
+    placed = busy(prefix).select("id", "n", "key", F.explode(F.array(part, part + 1)).alias("p")).select("id", "n", F.xxhash64("key", "p").alias("key"))
+    rest = cut(busy(placed))
+    sets = cut(classes.select("id", "n", "s").join(rest.select(F.col("id").alias("b")).distinct(), F.col("id") == F.col("b"), "left_semi"))
+    comp = linked(rest, sets, percent)
+    least = comp.join(classes.select("id", "class_id"), F.col("node") == F.col("id")).groupBy("component", F.xxhash64("component")).agg(F.min("class_id").alias("least")).select(F.col("component").alias("c"), "least")
+    joined = comp.join(least, F.col("component") == F.col("c")).select("node", "least")
+    out = cut(classes.select("id", "k", "l", "class_id").join(joined, F.col("id") == F.col("node"), "left").select("k", "l", "class_id", F.coalesce("least", "class_id").alias("component_id")))
+    del rest, sets, comp, classes
+    release(spark)
+    return out
+
+
+def compare_with_next(docs: DataFrame, chain: int = CHAIN, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, class_id, component_id of every document.
 
     The edited text has its last floor(n_chars / 3) characters replaced by the
     first as many (or all) of the next document in descending doc_id.
     """
-    rows = docs.select("doc_id", text_of().alias("text")).select("doc_id", "text", F.xxhash64("text").alias("tie"), signatures(F.col("text"), chain).alias("sigs"))
-    led = next_in_order(rows, "doc_id", "tie", {"text": "next_text", "sigs": "next_sigs"})
-    n = F.length("text")
-    led = led.withColumn("n_chars", n.cast("long"))
+    classes = near_classes(docs, percent, chain).select(F.col("k").alias("__k"), F.col("l").alias("__l"), "class_id", "component_id")
+    rows = docs.select("doc_id", text_of().alias("text")).select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    led = next_in_order(rows, "doc_id", "tie", {"text": "next_text", "sigs": "next_sigs"}, {"sigs": signatures(F.col("text"), chain)})
+    led = led.withColumn("n_chars", F.length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - third).cast("int")), F.substring("next_text", F.lit(1), third))
 
@@ -143,36 +193,15 @@ def compare_with_next(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
         return F.struct(F.sha2(e, 256).alias("sha"), signatures(e, chain).alias("sigs"))
 
     led = led.withColumn("__e", let(edited, digest))
-    return led.select(
+    # from here on no text moves; sets move as numbers and are written as strings last
+    thin = led.select(
         "doc_id",
         "n_chars",
         F.col("__e.sha").alias("edited_sha256"),
-        fingerprint(F.col("sigs")).alias("fingerprint"),
-        fingerprint(F.col("__e.sigs")).alias("edited_fingerprint"),
+        "sigs",
+        F.col("__e.sigs").alias("edited_sigs"),
         likeness(F.col("sigs"), F.col("__e.sigs")).alias("near_edited"),
         likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
-    )
-
-
-def near_pairs(docs: DataFrame, threshold: float = 0.8, chain: int = CHAIN) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): members (doc_id, class_id), one row a document; pairs (a, b, likeness) of class ids at ``threshold`` or more.
-
-    Documents with equal fingerprints form one class, named by its smallest doc_id. Empty fingerprints are alike among themselves only.
-    """
-    rows = docs.select("doc_id", signatures(text_of(), chain).alias("sigs"))
-    classes = rows.groupBy("sigs").agg(F.min("doc_id").alias("class_id"))
-    members = rows.join(classes, "sigs").select("doc_id", "class_id")
-    sized = classes.where("size(sigs) > 0 and class_id is not null").select(F.col("class_id").alias("id"), "sigs", F.size("sigs").alias("n"))
-    each = sized.select("id", "n", F.explode("sigs").alias("h"))
-    common = each.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    ranked = each.join(common, "h").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "h")))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - F.lit(1e-9)) + 1)
-    # partition number by set length: lengths within the factor `threshold` are in the same or neighbouring partitions
-    part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(threshold))).cast("int")
-    left = prefix.select("h", part.alias("p"), F.col("id").alias("a"), F.col("n").alias("na"))
-    right = prefix.select("h", F.explode(F.array(part, part + 1)).alias("p"), F.col("id").alias("b"), F.col("n").alias("nb"))
-    within = (F.col("na") * threshold <= F.col("nb")) & (F.col("nb") * threshold <= F.col("na"))
-    pairs = left.join(right, ["h", "p"]).where((F.col("a") != F.col("b")) & within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    x = sized.select(F.col("id").alias("a"), F.col("sigs").alias("sa"))
-    y = sized.select(F.col("id").alias("b"), F.col("sigs").alias("sb"))
-    return members, pairs.join(x, "a").join(y, "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness")).where(F.col("likeness") >= threshold)
+    ).withColumn("__key", _class_key(F.col("sigs")))
+    out = thin.join(classes, (F.col("__key.k") == F.col("__k")) & (F.col("__key.l") == F.col("__l")), "left")
+    return out.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("sigs")).alias("fingerprint"), fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"), "near_edited", "near_next", "class_id", "component_id")
