@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows
-
 FOLDS = 5
 
 
@@ -30,11 +28,11 @@ def sample_labels(labels: DataFrame, label: str, rows: int) -> DataFrame:
 
 
 def sample_documents(docs: DataFrame, chosen: list, columns: list[Column]) -> DataFrame:
-    """``columns`` of the documents with an id in ``chosen`` (doc_id, y), and y. ``chosen`` is the bounded sample, so it may be broadcast."""
+    """doc_id, y and ``columns`` of the documents with an id in ``chosen`` (doc_id, y), one row an id: of several texts that with the smallest hash.
+
+    ``chosen`` is the bounded sample, so it may be broadcast.
+    """
     small = docs.sparkSession.createDataFrame([(int(i), int(y)) for i, y in chosen], "__id long, y int")
     joined = docs.select(F.col("doc_id").alias("__doc"), *[c for c in docs.columns if c == "text"]).join(F.broadcast(small), F.col("__doc") == F.col("__id"))
-    return joined.select(F.col("__doc").alias("doc_id"), "y", *columns)
-
-
-def drop_rejected(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    return keep_rows(docs, kept.select("doc_id").distinct())
+    each = joined.select(F.col("__doc").alias("doc_id"), "y", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.struct(*columns).alias("v"))
+    return each.groupBy("doc_id", "y").agg(F.min_by("v", "tie").alias("v")).select("doc_id", "y", "v.*")

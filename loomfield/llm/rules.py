@@ -15,7 +15,10 @@ Labels, lang, source and doc_id are never inputs of a score.
 Defined cases: null text is empty; all its statistics are 0 and it gets the
 score that the rules give them. Without labelled rows of both classes the score
 is the label share (0.5 without labels). Null ids are not held out. Repeated
-rows are scored as rows. Empty tables give empty results.
+rows are scored as rows; of several texts with one sampled id the one with the
+smallest hash is fitted. Very long texts are scored whole, in their row. Empty
+tables give empty results; other columns, also such with the names used here,
+are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, text_of
-from .labelled import drop_rejected, held_out, sample_documents, sample_labels
+from .labelled import held_out, sample_documents, sample_labels
 
 SAMPLE, TREES, DEPTH, LASSO, THRESHOLD = 12_000, 40, 3, 2e-3, 0.3
 FEATURES = [
@@ -181,7 +184,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEPTH, la
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE) -> RuleModel:
     chosen = sample_labels(labels, label, rows).collect()  # at most `rows` ids
-    got = sample_documents(docs, chosen, [statistics(text_of()).alias("s")]).select("doc_id", "y", "s.*").orderBy("doc_id").limit(2 * rows).collect()
+    got = sample_documents(docs, chosen, [statistics(text_of()).alias("s")]).select("doc_id", "y", "s.*").orderBy("doc_id").collect()  # a row an id
     x = np.asarray([[float(v) for v in r[2:]] for r in got]).reshape(len(got), len(FEATURES))
     return fit(x, np.asarray([r[1] for r in got], float))
 
@@ -193,7 +196,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, thre
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, model: RuleModel | None = None) -> DataFrame:
     """The documents whose score is at least ``threshold``, with all their columns; no shuffle."""
-    model = train(docs, labels)
+    model = model or train(docs, labels)
     return docs.where(let(statistics(text_of()), model.column) >= threshold)
