@@ -121,6 +121,7 @@ class Codec:
         self.bytes_of: list[bytes] = [b""] * (max(vocab.values()) + 1)
         for t, i in vocab.items():
             self.bytes_of[i] = bytes(back[c] for c in t) if all(c in back for c in t) else t.encode()
+        self.lengths = np.asarray([len(b) for b in self.bytes_of], np.int64)
         self.basic, self.not_basic, self.full, self.unknown = split_patterns()
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -170,13 +171,25 @@ class Codec:
             out[-1] += rest
         return out
 
+    def spans(self, ids) -> tuple[np.ndarray, np.ndarray, int]:
+        """(starts, ends, split): code point range of each token, and how many token ends lie inside a character. Tokens that share a split character share its position."""
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+        raw = np.frombuffer(self.decode_bytes(ids.tolist()), dtype=np.uint8)
+        inside = (raw & 0xC0) == 0x80
+        char = np.cumsum(~inside) - 1  # character that each byte belongs to
+        ends = np.cumsum(self.lengths[ids])
+        starts = np.concatenate([[0], ends[:-1]])
+        return char[starts].astype(np.int32), (char[ends - 1] + 1).astype(np.int32), int(inside[ends[:-1]].sum())
+
     def offsets(self, ids) -> list[tuple[int, int]]:
-        """Code point range of each token; tokens that share a split character share its position."""
-        raw = np.frombuffer(self.decode_bytes(ids), dtype=np.uint8)
-        char = np.cumsum((raw & 0xC0) != 0x80) - 1  # character that each byte belongs to
-        ends = np.cumsum([len(self.bytes_of[i]) for i in ids]) if len(ids) else np.zeros(0, int)
-        starts = np.concatenate([[0], ends[:-1]]).astype(int) if len(ids) else ends
-        return [(int(char[a]), int(char[b - 1]) + 1) for a, b in zip(starts, ends, strict=True)]
+        starts, ends, _ = self.spans(ids)
+        return list(zip(starts.tolist(), ends.tolist(), strict=True))
+
+    def decode(self, ids) -> str:
+        """The text: bytes are joined before they are read as UTF-8, so split characters come together; what is no UTF-8 becomes the replacement character."""
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
 @lru_cache(4)
@@ -213,28 +226,34 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches):
         c = codec(path)
         for batch in batches:
-            texts = ["".join(c.decode_pieces(x or [])) for x in batch.column(1).to_pylist()]
+            texts = [c.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], schema=kind)
 
     return encoded.select(encoded["doc_id"].cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: encode every text, decode its ids, in one pass."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, n_split, offsets_sha256: encode every text, decode its ids and place them in the text, in one pass.
+
+    n_split counts token ends inside a character; offsets_sha256 is of the starts, then the ends, as little-endian 32-bit numbers.
+    """
     arrow_rows(docs.sparkSession)
     on_workers(docs.sparkSession)
-    kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    kind = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("n_split", pa.int64()), ("offsets_sha256", pa.string())])
 
     def run(batches):
         c = codec(path)
         decimal = [b"%d" % i for i in range(len(c.bytes_of))]
         for batch in batches:
-            n, ids_hex, out_hex = [], [], []
+            n, ids_hex, out_hex, split, where = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = c.encode(text)
                 n.append(len(ids))
                 ids_hex.append(hashlib.sha256(b",".join(map(decimal.__getitem__, ids))).hexdigest())
-                out_hex.append(hashlib.sha256(c.decode_bytes(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(out_hex)], schema=kind)
+                out_hex.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
+                starts, ends, inside = c.spans(ids)
+                split.append(inside)
+                where.append(hashlib.sha256(starts.astype("<i4").tobytes() + ends.astype("<i4").tobytes()).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(out_hex, pa.string()), pa.array(split, pa.int64()), pa.array(where, pa.string())], schema=kind)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, offsets_sha256 string")

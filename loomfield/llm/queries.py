@@ -65,22 +65,28 @@ WITH t AS (
   SELECT conv_id, list({'turn': turn, 'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS turns
   FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
 ), l AS (
-  SELECT conv_id, turns, list_max(list_transform(turns, lambda x, i: CASE WHEN x.role = 'assistant' THEN i END)) AS n FROM t
+  SELECT conv_id, turns, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') AS places FROM t
 ), c AS (
-  SELECT conv_id, turns[1:n] AS chosen, n, turns[n].text AS reply FROM l WHERE n IS NOT NULL
+  SELECT conv_id, CASE WHEN len(places) > 0 THEN turns[1:places[len(places)]] ELSE turns END AS chosen,
+    CASE WHEN len(places) > 0 THEN places[(conv_id >> 1) % len(places) + 1] END AS branch
+  FROM l
 ), p AS (
-  SELECT a.conv_id AS pair_id, a.n, a.chosen, coalesce(b.reply, '') AS other, a.reply
-  FROM c a LEFT JOIN c b ON xor(a.conv_id, 1) = b.conv_id
+  SELECT a.conv_id AS pair_id, a.chosen,
+    CASE WHEN a.branch IS NULL THEN a.chosen ELSE a.chosen[1:a.branch - 1] || coalesce(b.chosen[b.branch:], [{'turn': a.chosen[a.branch].turn, 'role': 'assistant', 'text': ''}]) END AS rejected
+  FROM c a LEFT JOIN c b ON xor(a.conv_id, 1) = b.conv_id AND b.branch IS NOT NULL
 ), k AS (
-  -- the two sides differ in the last turn's text at most
-  SELECT pair_id, chosen, n, other, reply, CASE WHEN other = reply THEN n ELSE n - 1 END AS k FROM p
+  SELECT *, coalesce(list_min(list_filter(range(1, least(len(chosen), len(rejected)) + 1), lambda i: chosen[i].role <> rejected[i].role OR chosen[i].text <> rejected[i].text)) - 1, least(len(chosen), len(rejected))) AS k FROM p
+), r AS (
+  SELECT pair_id, k, chosen[1:k] AS prompt, chosen[k + 1:] AS c, rejected[k + 1:] AS r FROM k
+), s AS (
+  SELECT pair_id, k, list_transform(prompt, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) AS prompt, c, r,
+    list_transform(c, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) AS sc,
+    list_transform(r, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)) AS sr
+  FROM r
 )
-SELECT pair_id, k::INT AS prompt_turns,
-  coalesce(array_to_string(list_transform(chosen[1:k], lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), ''), '') AS prompt,
-  CASE WHEN k = n THEN '' ELSE '<|assistant|>' || chr(10) || reply || '<|end|>' || chr(10) END AS chosen,
-  CASE WHEN k = n THEN '' ELSE '<|assistant|>' || chr(10) || other || '<|end|>' || chr(10) END AS rejected,
-  CASE WHEN k = n THEN '' ELSE '14-' || (14 + length(reply) + 7) END AS chosen_spans,
-  CASE WHEN k = n THEN '' ELSE '14-' || (14 + length(other) + 7) END AS rejected_spans
-FROM k
+SELECT pair_id, k::INT AS prompt_turns, coalesce(array_to_string(prompt, ''), '') AS prompt, coalesce(array_to_string(sc, ''), '') AS chosen, coalesce(array_to_string(sr, ''), '') AS rejected,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(c) + 1), lambda i: c[i].role = 'assistant'), lambda i: (length(array_to_string(sc[1:i - 1], '')) + 14) || '-' || (length(array_to_string(sc[1:i - 1], '')) + 14 + length(c[i].text) + 7)), ','), '') AS chosen_spans,
+  coalesce(array_to_string(list_transform(list_filter(range(1, len(r) + 1), lambda i: r[i].role = 'assistant'), lambda i: (length(array_to_string(sr[1:i - 1], '')) + 14) || '-' || (length(array_to_string(sr[1:i - 1], '')) + 14 + length(r[i].text) + 7)), ','), '') AS rejected_spans
+FROM s
 """,
 }
