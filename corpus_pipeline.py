@@ -3,6 +3,16 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs. All but the last return the
 columns of ``documents``.
+
+Defined cases, for every stage: null text counts as empty. Empty texts are
+scored like others, are equal to one another in the exact stage, and have no
+near copies. A null doc_id is a row like others in the filters and in packing; in
+the exact stage it stays only if no row with an id has its text; the near stage
+keeps it. Rows of one doc_id with different texts are judged each by its text.
+Repeated rows become one in the two deduplications. Ties in doc_id are broken by
+the text's hash. Very long texts are used whole; the classifiers alone are
+fitted to bounded samples. An empty table gives an empty result. Further columns,
+whatever their names, pass through all stages but the last, which leaves them out.
 """
 
 from __future__ import annotations
@@ -10,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomfield.llm import minhash, packing, recipes, rules, toxicity
-from loomfield.llm.common import scratch_path
+from loomfield.llm.common import drop_path, scratch_path
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,10 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; intermediate tables go to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over `documents`; intermediate tables go to the shared folder, and each goes once the next is written."""
+    docs, held = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if held:
+            drop_path(spark, held)
+        docs, held = spark.read.parquet(path), path
     return docs
