@@ -19,7 +19,7 @@ by length, as only sets whose lengths differ by at most the factor percent / 100
 can reach it, and within a partition candidates must share one of their first
 n - ceil(percent x n / 100) + 1 signatures. Such buckets are linked by
 ``links.linked``, which prunes by size, prefix and position and compares whole
-sets. The order of signatures puts the ``MOST_COMMON`` most common ones last.
+sets. Before that, sets go that have too few signatures in common with any other.
 
 ``next_in_order`` gives each row its successor without one global window: ids
 are cut at quantiles into blocks, the first row of each block also joins the
@@ -51,7 +51,7 @@ au aux avec ce ces cette comme dans de des du elle en est et il ils je la le les
 al como con cuando de del desde el ella en entre era es esta este fue ha hay la las le lo los mas me mi muy no nos o para pero por porque que se ser si sin sobre su sus también un una y ya
 """.split()
 
-CHAIN, RARE_ANCHOR, REACH, PERCENT, MOST_COMMON = 3, 11, 8, 80, 4096
+CHAIN, RARE_ANCHOR, REACH, PERCENT = 3, 11, 8, 80
 
 
 def words_of(text: Column) -> Column:
@@ -159,25 +159,24 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, chain: int = CHAIN) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(text_of(), chain).alias("s")).select("doc_id", "s", _class_key(F.col("s")).alias("key"))
     first = rows.groupBy("key.k", "key.l").agg(F.min("doc_id").alias("class_id"), F.any_value("s").alias("s"))
     classes = cut(first.select(F.monotonically_increasing_id().alias("id"), "k", "l", "class_id", "s", F.size("s").cast("long").alias("n")))
-    # the first signatures in an order that all sets share: the most common of all come last, others go by value. Any order gives all pairs; this one gives few others.
-    spread = classes.select(F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 2")
-    often = [r.h for r in spread.orderBy(F.desc("c"), "h").limit(MOST_COMMON).collect()]
-    common = lambda h: h.isin(*often) if often else F.lit(False)
-    ordered = F.concat(F.filter("s", lambda h: ~common(h)), F.filter("s", common))
-    head = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100 - F.lit(1e-9)) + 1
-    prefix = cut(classes.where("n > 0").select("id", "n", F.explode(F.slice(ordered, F.lit(1), head.cast("int"))).alias("key")))
-    del spread
+    # a set can only be linked if so many of its signatures occur in other sets too; most sets go here
+    shared = busy(classes.select("id", F.explode("s").alias("key"))).groupBy("id").agg(F.count(F.lit(1)).alias("m")).select(F.col("id").alias("i"), "m")
+    able = cut(classes.join(shared, F.col("id") == F.col("i")).where(100 * F.col("m") >= percent * F.col("n")).select("id", "n", "s"))
+    del shared
     release(spark)
+    # the first signatures by value: an order that all sets share
+    head = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100 - F.lit(1e-9)) + 1
+    prefix = able.select("id", "n", F.explode(F.slice("s", F.lit(1), head.cast("int"))).alias("key"))
     # partition number by set length: lengths within the factor are in the same or neighbouring partitions, so a set is in its own and the next
     part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100)) + F.lit(1e-9))
     placed = busy(prefix).select("id", "n", "key", F.explode(F.array(part, part + 1)).alias("p")).select("id", "n", F.xxhash64("key", "p").alias("key"))
     rest = cut(busy(placed))
-    sets = cut(classes.select("id", "n", "s").join(rest.select(F.col("id").alias("b")).distinct(), F.col("id") == F.col("b"), "left_semi"))
+    sets = cut(able.join(rest.select(F.col("id").alias("b")).distinct(), F.col("id") == F.col("b"), "left_semi"))
     comp = linked(rest, sets, percent)
     least = comp.join(classes.select("id", "class_id"), F.col("node") == F.col("id")).groupBy("component", F.xxhash64("component")).agg(F.min("class_id").alias("least")).select(F.col("component").alias("c"), "least")
     joined = comp.join(least, F.col("component") == F.col("c")).select("node", "least")
     out = cut(classes.select("id", "k", "l", "class_id").join(joined, F.col("id") == F.col("node"), "left").select("k", "l", "class_id", F.coalesce("least", "class_id").alias("component_id")))
-    del rest, sets, comp, classes
+    del able, rest, sets, comp, classes
     release(spark)
     return out
 
