@@ -159,14 +159,20 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, chain: int = CHAIN) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), signatures(text_of(), chain).alias("s")).select("doc_id", "s", _class_key(F.col("s")).alias("key"))
     first = rows.groupBy("key.k", "key.l").agg(F.min("doc_id").alias("class_id"), F.any_value("s").alias("s"))
     classes = cut(first.select(F.monotonically_increasing_id().alias("id"), "k", "l", "class_id", "s", F.size("s").cast("long").alias("n")))
-    # a set can only be linked if so many of its signatures occur in other sets too; most sets go here
-    shared = busy(classes.select("id", F.explode("s").alias("key"))).groupBy("id").agg(F.count(F.lit(1)).alias("m")).select(F.col("id").alias("i"), "m")
-    able = cut(classes.join(shared, F.col("id") == F.col("i")).where(100 * F.col("m") >= percent * F.col("n")).select("id", "n", "s"))
-    del shared
     release(spark)
-    # the first signatures by value: an order that all sets share
-    head = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100 - F.lit(1e-9)) + 1
-    prefix = able.select("id", "n", F.explode(F.slice("s", F.lit(1), head.cast("int"))).alias("key"))
+    # The order of signatures by value is one that all sets share. Let a set's head be its first n - ceil(percent x n / 100) + 1.
+    # Linked sets share one signature of both heads, and in about twice that length as many as the shorter head has; most sets
+    # have fewer there that any other set has, and go here.
+    out_of = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100 - F.lit(1e-9))
+    least = F.ceil(F.col("n") * F.lit(percent) / 100 - F.lit(1e-9))  # size of the smallest partner
+    need = least - F.ceil(least * F.lit(percent) / 100 - F.lit(1e-9)) + 1
+    starts = classes.where("n > 0").select("id", need.cast("int").alias("need"), F.explode(F.slice("s", F.lit(1), (2 * out_of + 1).cast("int"))).alias("key"))
+    seen = starts.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"))
+    enough = starts.join(seen, F.col("key") == F.col("k"), "left_semi").groupBy("id", "need").agg(F.count(F.lit(1)).alias("m")).where("m >= need").select(F.col("id").alias("i"))
+    able = cut(classes.select("id", "n", "s").join(enough, F.col("id") == F.col("i"), "left_semi"))
+    del starts, seen, enough
+    release(spark)
+    prefix = able.select("id", "n", F.explode(F.slice("s", F.lit(1), (out_of + 1).cast("int"))).alias("key"))
     # partition number by set length: lengths within the factor are in the same or neighbouring partitions, so a set is in its own and the next
     part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100)) + F.lit(1e-9))
     placed = busy(prefix).select("id", "n", "key", F.explode(F.array(part, part + 1)).alias("p")).select("id", "n", F.xxhash64("key", "p").alias("key"))
