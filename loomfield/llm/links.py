@@ -41,7 +41,7 @@ def linked(rest: DataFrame, sets: DataFrame, percent: int, least_gain: int = 10)
     spark = rest.sparkSession
     rest = rest.withColumn("comp", F.col("id"))
     alike = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
-    found = comp = None
+    comp = rest.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)  # of linked sets only
     turn, stuck = 0, False
     while True:
         # buckets that still hold several components; each has a largest one, and minor rows besides it
@@ -62,17 +62,24 @@ def linked(rest: DataFrame, sets: DataFrame, percent: int, least_gain: int = 10)
         links = cut(confirm(pairs, sets, percent))
         gained = links.count()
         last, stuck = stuck, gained == 0 or least_gain * gained < pairs.count()  # a round without a link changes nothing, so none may follow it
-        found = cut(links if found is None else found.select("a", "b").union(links))
-        comp = components(found)
+        comp = cut(_merged(comp, links))
         if last:
             break
         now = comp.select(F.col("node").alias("nid"), F.col("component").alias("nc"))
         rest = cut(rest.join(now, F.col("id") == F.col("nid"), "left").select("id", "n", "key", F.coalesce("nc", "id").alias("comp")))
-        found = comp.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")  # as much as the links say
         turn += 1
         del each, sized, named, pairs, links, now
         release(spark)
-    return comp if comp is not None else rest.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
+    return comp
+
+
+def _merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` after ``links`` (a, b): only the components that they join are worked on, not their members."""
+    x, y = comp.select(F.col("node").alias("x"), F.col("component").alias("cx")), comp.select(F.col("node").alias("y"), F.col("component").alias("cy"))
+    new = components(links.join(x, F.col("a") == F.col("x"), "left").join(y, F.col("b") == F.col("y"), "left").select(F.coalesce("cx", "a").alias("a"), F.coalesce("cy", "b").alias("b")))
+    to = new.select(F.col("node").alias("was"), F.col("component").alias("is"))
+    moved = comp.join(to, F.col("component") == F.col("was"), "left").select("node", F.coalesce("is", "component").alias("component"))
+    return moved.union(new.join(comp.select(F.col("node").alias("had")), F.col("node") == F.col("had"), "left_anti"))
 
 
 def _remaining_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
