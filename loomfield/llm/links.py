@@ -1,10 +1,10 @@
 """Components of sets under Jaccard similarity, from buckets of candidates (DataFrame functions only).
 
 A bucket is a key that any two linked sets share at least once. Within a bucket
-no pairs are enumerated: each set is compared with the pivot of the largest of
-its buckets, the member that comes first in a random order. Linked sets are
-contracted; buckets that still hold several components get further pivot rounds
-under other orders, until a round links less than one in ``least_gain`` of its pairs. The pairs that
+no pairs are enumerated: members are compared with the bucket's pivot, that
+member of its largest component that comes first in a random order. Linked sets
+are contracted; buckets that still hold several components get further pivot
+rounds under other orders, until a round links less than one in ``least_gain`` of its pairs. The pairs that
 remain between components of a bucket are then narrowed down by an exact prefix
 and position bound on the whole sets and all compared, once each. So every pair
 that shares a bucket ends in one component or is known to be no link: nothing is
@@ -36,8 +36,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.withColumn("__i", common).where(100 * F.col("__i") >= percent * (F.col("na") + F.col("nb") - F.col("__i"))).select("a", "b")
 
 
-def linked(rest: DataFrame, sets: DataFrame, percent: int, least_gain: int = 10) -> DataFrame:
-    """(node, component) of the sets with a link. rest: busy rows (id, n, key), a reliable table; sets: id, n, s of every id in it."""
+def linked(rest: DataFrame, sets: DataFrame, percent: int, least_gain: int = 10, every_bucket: bool = True) -> DataFrame:
+    """(node, component) of the sets with a link. rest: busy rows (id, n, key), a reliable table; sets: id, n, s of every id in it.
+
+    In a round a set is compared with the pivots of all its buckets, or of the largest one only, which suits sets with many buckets.
+    """
     spark = rest.sparkSession
     rest = rest.withColumn("comp", F.col("id"))
     alike = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
@@ -54,11 +57,13 @@ def linked(rest: DataFrame, sets: DataFrame, percent: int, least_gain: int = 10)
         if stuck:
             pairs = _remaining_pairs(rest, sets, percent)
         else:
-            # one order for all buckets, so that a group has few pivots; a member goes to the pivot of its largest bucket
-            order = F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-            pivots = rest.groupBy("key", F.xxhash64("key")).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("c")).select(F.col("key").alias("k"), "c", "first.p", "first.pn", "first.pc")
-            near = rest.join(pivots, F.col("key") == F.col("k")).where((F.col("comp") != F.col("pc")) & alike("n", "pn"))
-            pairs = near.groupBy("id").agg(F.max(F.struct("c", "p")).alias("m")).select(F.least("id", "m.p").alias("a"), F.greatest("id", "m.p").alias("b")).distinct()
+            # one order for all buckets, so that a group has few pivots; they are of the largest component, so only minor rows are compared
+            order = F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), F.col("id").alias("p"), F.col("n").alias("pn"))
+            pivots = rest.groupBy("key", F.xxhash64("key")).agg(F.min(F.when(F.col("comp") == F.col("main"), order)).alias("first"), F.count(F.lit(1)).alias("c")).select(F.col("key").alias("k"), "c", "first.p", "first.pn")
+            near = rest.where("comp <> main").join(pivots, F.col("key") == F.col("k")).where(alike("n", "pn"))
+            if not every_bucket:
+                near = near.groupBy("id").agg(F.max(F.struct("c", "p")).alias("m")).select("id", "m.p")
+            pairs = near.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         pairs = cut(pairs)
         links = cut(confirm(pairs, sets, percent))
         gained = links.count()

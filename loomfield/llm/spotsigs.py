@@ -178,7 +178,7 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, chain: int = CHAIN) ->
     placed = busy(prefix).select("id", "n", "key", F.explode(F.array(part, part + 1)).alias("p")).select("id", "n", F.xxhash64("key", "p").alias("key"))
     rest = cut(busy(placed))
     sets = cut(able.join(rest.select(F.col("id").alias("b")).distinct(), F.col("id") == F.col("b"), "left_semi"))
-    comp = linked(rest, sets, percent)
+    comp = linked(rest, sets, percent, every_bucket=False)
     least = comp.join(classes.select("id", "class_id"), F.col("node") == F.col("id")).groupBy("component", F.xxhash64("component")).agg(F.min("class_id").alias("least")).select(F.col("component").alias("c"), "least")
     joined = comp.join(least, F.col("component") == F.col("c")).select("node", "least")
     out = cut(classes.select("id", "k", "l", "class_id").join(joined, F.col("id") == F.col("node"), "left").select("k", "l", "class_id", F.coalesce("least", "class_id").alias("component_id")))
