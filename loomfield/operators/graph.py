@@ -9,20 +9,25 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a folder of our own where that is unset (tests)."""
+    """``spark.checkpoint.dir``; where that is unset a folder of our own, in local mode only."""
     own = spark.conf.get("spark.checkpoint.dir", None)
     if own is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         own = getattr(shared_folder, "own", None) or "file://" + tempfile.mkdtemp(prefix="loomfield-")
         shared_folder.own = own
     return own.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    sc = df.sparkSession.sparkContext
+    """Reliable checkpoint in the shared folder, made anew without the optimizer's guess at its size: loops multiply such guesses until planning takes minutes."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(shared_folder(spark))
+    held = df.checkpoint(eager=True)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

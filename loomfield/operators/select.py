@@ -76,16 +76,15 @@ def budget_skip(rows: DataFrame, key: str, budget: int) -> DataFrame:
 
 
 def choose_clusters(sizes: list[tuple[str, int]], seed: str, fraction: float) -> set[str]:
-    """Clusters in hash order while they bring the count nearer to the rounded target; never all of them."""
-    total = sum(n for _, n in sizes)
-    target, have, chosen = round(total * fraction), 0, set()
+    """Clusters in hash order: the first in any case, then each that does not move the count away from the rounded target, until it is reached; never all."""
+    target, have, chosen = max(1, round(sum(n for _, n in sizes) * fraction)), 0, []
     for name, n in sorted(sizes, key=lambda x: hashlib.sha256(f"{seed}\0{x[0]}".encode()).hexdigest()):
-        if have >= target or len(chosen) == len(sizes) - 1:
+        if have >= target:
             break
-        if abs(have + n - target) <= abs(have - target):
-            chosen.add(name)
+        if not chosen or abs(have + n - target) <= abs(have - target):
+            chosen.append(name)
             have += n
-    return chosen
+    return set(chosen[:-1] if len(chosen) == len(sizes) else chosen)
 
 
 def cluster_split(rows: DataFrame, cluster: str, seed: str, test: float = 0.2, validation: float = 0.25) -> DataFrame:

@@ -20,13 +20,12 @@ def _(spark, d):
     return logs.latest(e, ["user_id", "event_type"], "ts", F.to_timestamp(F.lit(NOW)), "event_id").select("user_id", "event_type", "event_id", "value")
 
 
-@query("as_of_join", "SELECT a.event_id, max(b.event_id) AS last_click FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'click' AND b.ts <= a.ts WHERE a.event_type = 'error' GROUP BY a.event_id")
+@query("as_of_join", "SELECT a.event_id, max({'ts': b.ts, 'id': b.event_id}).id AS last_click FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'click' AND b.ts <= a.ts WHERE a.event_type = 'error' GROUP BY a.event_id")
 def _(spark, d):
     """JON-16: each error's latest earlier click, by one window over the union instead of a range join."""
     e = table(spark, d, "events").where("event_type in ('error', 'click')")
-    # event ids follow time in this table, so the greatest earlier id is the latest earlier one
     w = Window.partitionBy("user_id").orderBy("ts").rangeBetween(Window.unboundedPreceding, 0)
-    return e.withColumn("last_click", F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).over(w)).where("event_type = 'error' and last_click is not null").select("event_id", "last_click")
+    return e.withColumn("last_click", F.max(F.when(F.col("event_type") == "click", F.struct("ts", "event_id"))).over(w)["event_id"]).where("event_type = 'error' and last_click is not null").select("event_id", "last_click")
 
 
 @query("stale_facts")

@@ -165,6 +165,27 @@ def test_split_keeps_clusters_whole(spark):
     assert {r.split for r in s.select("split").distinct().collect()} == {"train", "validation", "test"}
 
 
+def test_choose_clusters_takes_the_first_and_never_all():
+    def rank(name):
+        return hashlib.sha256(f"x\0{name}".encode()).hexdigest()
+
+    first, second = sorted(["a", "b"], key=rank)
+    assert select.choose_clusters([(first, 90), (second, 10)], "x", 0.1) == {first}  # though it overshoots
+    assert select.choose_clusters([(first, 1), (second, 1)], "x", 0.9) == {first}
+    sizes = [(f"c{i}", 1 + i * 7 % 13) for i in range(30)]
+    want, have, target = [], 0, round(sum(n for _, n in sizes) * 0.2)
+    for name, n in sorted(sizes, key=lambda c: rank(c[0])):
+        if have < target and (not want or abs(target - have - n) <= abs(target - have)):
+            want.append(name)
+            have += n
+    assert select.choose_clusters(sizes, "x", 0.2) == set(want)
+
+
+def test_angle_brackets_are_placeholders():
+    assert privacy.find("token=<My-secret-1>") == [] and privacy.find("token = ' <x y> '") == []
+    assert [d for d, *_ in privacy.find("token=My-secret-1")] == ["environment_secret_assignment"]
+
+
 def test_balance_search():
     fam = {"en": [9000, 9000, 9000], "fr": [8000, 8000, 8000], "de": [5000, 5000, 5000]}
     best = select.largest_feasible(fam)
