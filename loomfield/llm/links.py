@@ -1,19 +1,23 @@
 """Components of sets under Jaccard similarity, from buckets of candidates (DataFrame functions only).
 
 A bucket is a key that any two linked sets share at least once. Within a bucket
-no pairs are enumerated: members are compared with the bucket's pivot, that
+no pairs are enumerated: members are compared with the bucket's pivot, first the
+member of the greatest weight (how common its elements are, so the middle of a
+group of near copies, which most of the group is linked to), in later rounds that
 member of its largest component that comes first in a random order. Linked sets
 are contracted; buckets that still hold several components get further pivot
-rounds under other orders, until a round links less than one in ``least_gain`` of its pairs. The pairs that
-remain between components of a bucket are then narrowed down by an exact prefix
-and position bound on the whole sets and all compared, once each. So every pair
+rounds, until a round links less than one in ``least_gain`` of its pairs. The pairs that
+remain between components of a bucket are then narrowed down by exact bounds on
+the whole sets (prefix, position, and a bitmap of element parities, whose
+differing bits are at most the elements that the sets do not share) and all
+compared, once each. So every pair
 that shares a bucket ends in one component or is known to be no link: nothing is
 capped, and a group of n near copies costs about n comparisons a round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, release
@@ -26,6 +30,20 @@ def busy(rows: DataFrame) -> DataFrame:
     return rows.join(shared, F.col("key") == F.col("k"), "left_semi")
 
 
+def parities(elements: Column) -> list[Column]:
+    """128 bits as two numbers: a bit is set if an odd number of elements fall on it."""
+
+    def half(k):
+        def flip(bits, e):
+            at = F.xxhash64(e).bitwiseAND(127)
+            on = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int"))
+            return bits.bitwiseXOR(F.when(F.shiftright(at, 6) == k, on).otherwise(F.lit(0).cast("long")))
+
+        return F.aggregate(elements, F.lit(0).cast("long"), flip)
+
+    return [half(0), half(1)]
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose whole sets are alike: 100 x intersection >= percent x union."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
@@ -37,7 +55,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def linked(rest: DataFrame, sets: DataFrame, percent: int, least_gain: int = 10, every_bucket: bool = True) -> DataFrame:
-    """(node, component) of the sets with a link. rest: busy rows (id, n, key), a reliable table; sets: id, n, s of every id in it.
+    """(node, component) of the sets with a link. rest: busy rows (id, n, key, w), a reliable table, w being an id's weight as a first pivot; sets: id, n, s of every id in it.
 
     In a round a set is compared with the pivots of all its buckets, or of the largest one only, which suits sets with many buckets.
     """
@@ -48,17 +66,18 @@ def linked(rest: DataFrame, sets: DataFrame, percent: int, least_gain: int = 10,
     turn, stuck = 0, False
     while True:
         # buckets that still hold several components; each has a largest one, and minor rows besides it
-        each = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        sized = cut(each.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+        each = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("w").alias("w"))
+        sized = cut(each.groupBy("key").agg(F.max(F.struct("c", "w", "comp")).alias("most"), F.count(F.lit(1)).alias("m")).where("m > 1"))
         if sized.isEmpty():
             break
         named = sized.select(F.col("key").alias("k"), F.col("most.comp").alias("main"))
-        rest = cut(rest.join(named, F.col("key") == F.col("k")).select("id", "n", "key", "comp", "main"))
+        rest = cut(rest.join(named, F.col("key") == F.col("k")).select("id", "n", "key", "w", "comp", "main"))
         if stuck:
             pairs = _remaining_pairs(rest, sets, percent)
         else:
             # one order for all buckets, so that a group has few pivots; they are of the largest component, so only minor rows are compared
-            order = F.struct(F.xxhash64(F.lit(turn), "id").alias("o"), F.col("id").alias("p"), F.col("n").alias("pn"))
+            rank = F.xxhash64(F.lit(turn), "id") if turn else -F.col("w")
+            order = F.struct(rank.alias("o"), F.col("id").alias("p"), F.col("n").alias("pn"))
             pivots = rest.groupBy("key", F.xxhash64("key")).agg(F.min(F.when(F.col("comp") == F.col("main"), order)).alias("first"), F.count(F.lit(1)).alias("c")).select(F.col("key").alias("k"), "c", "first.p", "first.pn")
             near = rest.where("comp <> main").join(pivots, F.col("key") == F.col("k")).where(alike("n", "pn"))
             if not every_bucket:
@@ -72,7 +91,7 @@ def linked(rest: DataFrame, sets: DataFrame, percent: int, least_gain: int = 10,
         if last:
             break
         now = comp.select(F.col("node").alias("nid"), F.col("component").alias("nc"))
-        rest = cut(rest.join(now, F.col("id") == F.col("nid"), "left").select("id", "n", "key", F.coalesce("nc", "id").alias("comp")))
+        rest = cut(rest.join(now, F.col("id") == F.col("nid"), "left").select("id", "n", "key", "w", F.coalesce("nc", "id").alias("comp")))
         turn += 1
         del each, sized, named, pairs, links, now
         release(spark)
@@ -93,16 +112,23 @@ def _remaining_pairs(rest: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
     One of the two is minor in their bucket, so minor rows are joined with all. With its elements in order of rarity, a set of
     n elements must share one of its first n - ceil(percent x n / 100) + 1 with any set it is linked to, and from the first
-    shared element on both must have enough elements left for the overlap that a link needs.
+    shared element on both must have enough elements left for the overlap that a link needs. Linked sets differ in at most
+    (100 - percent) / (100 + percent) of their joint number of elements, so in no more bits of their parities.
     """
-    who = rest.groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor"))
-    elements = cut(who.join(sets.withColumnRenamed("id", "sid"), F.col("id") == F.col("sid")).select("id", "n", "comp", "minor", F.explode("s").alias("h")))
+    who = cut(rest.groupBy("id", "comp").agg(F.max(F.col("comp") != F.col("main")).alias("minor")))
+    named = sets.withColumnRenamed("id", "sid")
+    odd = parities(F.col("s"))
+    thin = who.join(named, F.col("id") == F.col("sid")).select(F.col("id").alias("i"), "n", "comp", "minor", odd[0].alias("x"), odd[1].alias("y"))
+    elements = cut(who.select("id").join(named, F.col("id") == F.col("sid")).select("id", F.explode("s").alias("h")))
     spread = elements.groupBy("h", F.xxhash64("h")).agg(F.count(F.lit(1)).alias("df")).select(F.col("h").alias("e"), "df")
-    ordered = elements.join(spread, F.col("h") == F.col("e")).groupBy("id", "n", "comp", "minor").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o"))
+    ordered = elements.join(spread, F.col("h") == F.col("e")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("o")).join(thin, F.col("id") == F.col("i"))
     head = F.col("n") - F.ceil(F.col("n") * F.lit(percent) / 100 - F.lit(1e-9)) + 1
-    full = cut(ordered.select("id", "n", "comp", "minor", F.posexplode(F.slice("o", F.lit(1), head.cast("int"))).alias("pos", "t")).where("t.df > 1").select("id", "n", "comp", "minor", (F.col("n") - F.col("pos")).alias("left"), F.col("t.h").alias("h")))
-    one = full.where("minor").select(*[F.col(c).alias(f"{c}1") for c in ("id", "n", "comp", "left", "h")])
+    own = ("id", "n", "comp", "minor", "x", "y")
+    full = cut(ordered.select(*own, F.posexplode(F.slice("o", F.lit(1), head.cast("int"))).alias("pos", "t")).where("t.df > 1").select(*own, (F.col("n") - F.col("pos")).alias("left"), F.col("t.h").alias("h")))
+    one = full.where("minor").select(*[F.col(c).alias(f"{c}1") for c in ("id", "n", "comp", "x", "y", "left", "h")])
     once = ~F.col("minor") | (F.col("id1") < F.col("id"))
-    enough = (100 + percent) * F.least("left1", "left") >= percent * (F.col("n1") + F.col("n"))
-    joined = one.join(full, (F.col("h1") == F.col("h")) & (F.col("comp1") != F.col("comp")) & once & enough)
+    both = F.col("n1") + F.col("n")
+    enough = (100 + percent) * F.least("left1", "left") >= percent * both
+    apart = F.bit_count(F.col("x1").bitwiseXOR(F.col("x"))) + F.bit_count(F.col("y1").bitwiseXOR(F.col("y")))
+    joined = one.join(full, (F.col("h1") == F.col("h")) & (F.col("comp1") != F.col("comp")) & once & enough & ((100 + percent) * apart <= (100 - percent) * both))
     return joined.select(F.least("id1", "id").alias("a"), F.greatest("id1", "id").alias("b")).distinct()

@@ -28,7 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, arrow_rows, cut, on_workers, release, text_of
@@ -132,13 +132,16 @@ def near_classes(docs: DataFrame, width: int, percent: int, halves: int, rows: i
     first = usable.groupBy("set_key").agg(F.min(F.struct("doc_id", "tie", "n_shingles", "keys")).alias("f"))
     classes = cut(first.select(F.monotonically_increasing_id().alias("id"), "set_key", F.col("f.doc_id").alias("doc"), F.col("f.tie").alias("tie"), F.col("f.n_shingles").alias("n"), F.col("f.keys").alias("keys")))
     tables = cut(table_rows(shared_sides(classes.select("id", "n", "keys"), halves)))
-    rest = cut(busy(tables))
+    # a class's weight is its number of table rows shared with others: the original of many near copies has the greatest
+    size = tables.groupBy("key", F.xxhash64("key")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("key").alias("k"), "c")
+    met = tables.join(size, F.col("key") == F.col("k"))
+    rest = cut(met.select("id", "n", "key", F.sum("c").over(Window.partitionBy("id")).alias("w")))
     wanted = classes.select("id", "doc", "set_key").join(rest.select(F.col("id").alias("b")).distinct(), F.col("id") == F.col("b"), "left_semi")
     sets = full_sets(docs, wanted, width)
     if not usable.groupBy("doc_id").count().where("count > 1").isEmpty():  # rows that repeat an id may give a set twice
         sets = sets.dropDuplicates(["id"])
     sets = cut(sets)
-    del tables, wanted
+    del tables, size, met, wanted
     release(spark)
     comp = linked(rest, sets, percent)
     least = comp.join(classes.select("id", "doc", "tie"), F.col("node") == F.col("id")).groupBy("component", F.xxhash64("component")).agg(F.min(F.struct("doc", "tie")).alias("least")).select(F.col("component").alias("c"), "least")

@@ -176,8 +176,14 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, chain: int = CHAIN) ->
     # partition number by set length: lengths within the factor are in the same or neighbouring partitions, so a set is in its own and the next
     part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100)) + F.lit(1e-9))
     placed = busy(prefix).select("id", "n", "key", F.explode(F.array(part, part + 1)).alias("p")).select("id", "n", F.xxhash64("key", "p").alias("key"))
-    rest = cut(busy(placed))
-    sets = cut(able.join(rest.select(F.col("id").alias("b")).distinct(), F.col("id") == F.col("b"), "left_semi"))
+    found = cut(busy(placed))
+    sets = cut(able.join(found.select(F.col("id").alias("b")).distinct(), F.col("id") == F.col("b"), "left_semi"))
+    # a set's weight is how common its signatures are on average: the original of many near copies has the greatest
+    spots = sets.select("id", F.explode("s").alias("h"))
+    spread = spots.groupBy("h", F.xxhash64("h")).agg(F.count(F.lit(1)).alias("df")).select(F.col("h").alias("e"), "df")
+    weights = spots.join(spread, F.col("h") == F.col("e")).groupBy("id").agg(F.avg(F.log("df")).alias("w")).select(F.col("id").alias("i"), "w")
+    rest = cut(found.join(weights, F.col("id") == F.col("i")).select("id", "n", "key", "w"))
+    del found, spots, spread, weights
     comp = linked(rest, sets, percent, every_bucket=False)
     least = comp.join(classes.select("id", "class_id"), F.col("node") == F.col("id")).groupBy("component", F.xxhash64("component")).agg(F.min("class_id").alias("least")).select(F.col("component").alias("c"), "least")
     joined = comp.join(least, F.col("component") == F.col("c")).select("node", "least")
