@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -54,4 +54,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             break
         before = now
+        release(edges.sparkSession)  # a round's exchanges go before the next one's are written
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -84,10 +84,13 @@ def linked(rest: DataFrame, sets: DataFrame, percent: int, least_gain: int = 10,
                 near = near.groupBy("id").agg(F.max(F.struct("c", "p")).alias("m")).select("id", "m.p")
             pairs = near.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
         pairs = cut(pairs)
+        release(spark)
         links = cut(confirm(pairs, sets, percent))
+        release(spark)
         gained = links.count()
         last, stuck = stuck, gained == 0 or least_gain * gained < pairs.count()  # a round without a link changes nothing, so none may follow it
-        comp = cut(_merged(comp, links))
+        if gained:
+            comp = cut(_merged(comp, links))
         if last:
             break
         now = comp.select(F.col("node").alias("nid"), F.col("component").alias("nc"))

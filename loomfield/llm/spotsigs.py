@@ -177,6 +177,8 @@ def near_classes(docs: DataFrame, percent: int = PERCENT, chain: int = CHAIN) ->
     part = F.floor(F.log(F.col("n").cast("double")) / F.lit(-math.log(percent / 100)) + F.lit(1e-9))
     placed = busy(prefix).select("id", "n", "key", F.explode(F.array(part, part + 1)).alias("p")).select("id", "n", F.xxhash64("key", "p").alias("key"))
     found = cut(busy(placed))
+    del prefix, placed
+    release(spark)
     sets = cut(able.join(found.select(F.col("id").alias("b")).distinct(), F.col("id") == F.col("b"), "left_semi"))
     # a set's weight is how common its signatures are on average: the original of many near copies has the greatest
     spots = sets.select("id", F.explode("s").alias("h"))
