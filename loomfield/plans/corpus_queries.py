@@ -93,8 +93,7 @@ def _(spark, d):
 @query("near_duplicate_families")
 def _(spark, d):
     """DUP-03."""
-    c = corpus(spark, d)
-    return overlap.complete_link_families(c, overlap.near_pairs(c).select("a", "b"))
+    return overlap.near_families(corpus(spark, d))
 
 
 @query("candidate_work", """

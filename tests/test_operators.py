@@ -263,6 +263,8 @@ def test_near_links_stand_for_all_pairs(spark):
     assert links == {(0, 1): "TEMPLATE_NUMERIC_VARIANT", (4, 5): "NEAR_CHAR5_AND_TOKEN", **dict.fromkeys([(0, 2), (0, 6), (0, 7), (0, 8), (1, 3)], "MIRROR_CASEFOLD")}
     pairs = overlap.near_pairs(docs)
     assert {(r.a, r.b) for r in pairs.collect()} == {*itertools.combinations([0, 1, 2, 3, 6, 7, 8], 2), (4, 5)}
+    want = {(r.doc_id, r.representative) for r in overlap.complete_link_families(docs, pairs).collect()}
+    assert {(r.doc_id, r.representative) for r in overlap.near_families(docs).collect()} == want
 
 
 def test_near_links_of_random_edits_equal_brute_force(spark):
@@ -282,3 +284,18 @@ def test_near_links_of_random_edits_equal_brute_force(spark):
     kinds = overlap.near_kind.func(*[overlap.pd.Series([texts[p[k]] for p in pairs]) for k in (0, 1)])
     want = {p: k for p, k in zip(pairs, kinds) if k}
     assert {(r.a, r.b): r.kind for r in overlap.near_pairs(docs).collect()} == want and len(want) > 8
+
+
+def test_complete_link_fold_equals_loop(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(700)})
+    near = {i: {b if a == i else a for a, b in edges if i in (a, b)} for i in range(60)}
+    groups = []
+    for i in range(60):
+        home = next((g for g in groups if all(m in near[i] for m in g)), None)
+        groups.append([i]) if home is None else home.append(i)
+    docs = spark.createDataFrame([(i,) for i in range(60)], "doc_id long")
+    got = {r.doc_id: r.representative for r in overlap.complete_link_families(docs, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {m: g[0] for g in groups for m in g}
