@@ -328,3 +328,17 @@ def test_decontamination_reaches_copies_and_their_families(spark):
     docs = spark.createDataFrame(rows, "doc_id long, family string, text string")
     items = spark.createDataFrame([(0, " ".join(w[5:35])), (1, " ".join(w[5:35]))], "item_id long, text string")
     assert {r.doc_id for r in overlap.decontamination(docs, items).collect()} == {0, 1, 2, 3, 4, 5}
+
+
+def test_lineage_chain_beyond_a_million_rows(spark, tmp_path):
+    from loomfield.plans import registry
+
+    ids = [0, 97, 97, 194, -97, 1, 98, None]
+    many = spark.range(1, 60_000).select((F.col("id") * 97 + 97_000_000).alias("event_id"))  # 27 rows of a recursion each
+    spark.createDataFrame([(i,) for i in ids], "event_id long").union(many).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.root: r.length for r in registry.QUERIES["lineage_chain"](spark, str(tmp_path)).collect()}
+
+    def chain(i):
+        return 1 if i <= 1 else 1 + chain(i // 2)
+
+    assert got == {0: 1, 97: 2 * chain(97), 194: chain(194), -97: 1, **{i: chain(i) for i in (97 * k + 97_000_000 for k in range(1, 60_000))}}
