@@ -342,3 +342,26 @@ def test_lineage_chain_beyond_a_million_rows(spark, tmp_path):
         return 1 if i <= 1 else 1 + chain(i // 2)
 
     assert got == {0: 1, 97: 2 * chain(97), 194: chain(194), -97: 1, **{i: chain(i) for i in (97 * k + 97_000_000 for k in range(1, 60_000))}}
+
+
+def test_chrf_equals_counters_and_shuffles_no_grams(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(1)
+    word = lambda n: "".join(rng.choice("ab é😀\n") for _ in range(n))
+    rows = [(f"g{i % 2}", i, word(rng.randrange(30)), word(rng.randrange(30))) for i in range(60)] + [("g0", 90, None, "abc"), ("g1", 91, "abc", None), ("g2", 92, "ab", "abcd"), ("g3", 93, "x", " ")]
+    pooled = {}
+    for g, _, p, r in rows:
+        p, r = ("".join((t or "").split()) for t in (p, r))
+        for k in range(1, min(6, len(r)) + 1):
+            a, b = (Counter(t[i : i + k] for i in range(len(t) - k + 1)) for t in (p, r))
+            e = pooled.setdefault(g, {}).setdefault(k, [0, 0, 0])
+            e[0], e[1], e[2] = e[0] + sum((a & b).values()), e[1] + sum(a.values()), e[2] + sum(b.values())
+    want = {}
+    for g, o in pooled.items():
+        p, r = (sum(e[0] / e[i] if e[i] else 0 for e in o.values()) / len(o) for i in (1, 2))
+        want[g] = round(500 * p * r / (4 * p + r), 6) if 4 * p + r else 0.0
+    df = metrics.chrf(spark.createDataFrame(rows, "g string, seg long, pred string, ref string"), ["g"])
+    assert {r.g: pytest.approx(r.chrf, abs=2e-6) for r in df.collect()} == want and set(want) == {"g0", "g1", "g2"}
+    assert "explode" not in df._jdf.queryExecution().toString().lower()
