@@ -214,13 +214,19 @@ def fixed_packs(docs: DataFrame, size: int = 4096) -> DataFrame:
     return docs.select("doc_id", "text", F.posexplode(at).alias("pack", "s")).select("doc_id", "pack", F.substring(F.col("text"), F.col("s") + 1, F.lit(size)).alias("text"))
 
 
-def three_granularities(docs: DataFrame, family: str = "family") -> DataFrame:
-    """Acceptance by whole family, by document and by fixed pack: (granularity, units, accepted, largest_rejected_bytes)."""
-    def of(df, name):
-        a = assess(df)
-        return a.agg(F.lit(name).alias("granularity"), F.count(F.lit(1)).alias("units"), F.count_if(F.col("d.accepted")).alias("accepted"), F.coalesce(F.max(F.when(~F.col("d.accepted"), F.col("f.utf8_bytes"))), F.lit(0).cast("bigint")).alias("largest_rejected_bytes"))
+def three_granularities(docs: DataFrame, family: str = "family", size: int = 4096) -> DataFrame:
+    """Acceptance by whole family, by document and by fixed pack: (granularity, units, accepted, largest_rejected_bytes).
 
+    Each text is assessed once, for family and document; one of at most ``size`` characters is its own only pack, so only packs of longer ones are assessed besides.
+    """
+    ok, data = F.col("d.accepted"), F.col("f.utf8_bytes")
+    short = F.col("f.chars").between(1, size)
+    counts = lambda c, k: [F.count_if(c).alias(f"units{k}"), F.count_if(c & ok).alias(f"accepted{k}"), F.max(F.when(c & ~ok, data)).alias(f"largest{k}")]
     # the family's decision is that of its documents weighed by bytes: texts of a family are never gathered in one row
-    per = assess(docs).groupBy(family).agg(F.sum(F.when(F.col("d.accepted"), F.col("f.utf8_bytes")).otherwise(0)).alias("good"), F.sum("f.utf8_bytes").alias("all"))
-    fam = per.agg(F.lit("family").alias("granularity"), F.count(F.lit(1)).alias("units"), F.count_if(2 * F.col("good") >= F.col("all")).alias("accepted"), F.coalesce(F.max(F.when(2 * F.col("good") < F.col("all"), F.col("all"))), F.lit(0).cast("bigint")).alias("largest_rejected_bytes"))
-    return fam.union(of(docs, "document")).union(of(fixed_packs(docs), "pack"))
+    per = assess(docs).groupBy(family).agg(F.sum(F.when(ok, data).otherwise(0)).alias("good"), F.sum(data).alias("all"), *counts(F.lit(True), 1), *counts(short, 2))
+    good = 2 * F.col("good") >= F.col("all")
+    row = lambda name, units, accepted, largest: F.struct(F.lit(name).alias("granularity"), F.coalesce(units, F.lit(0).cast("bigint")).alias("units"), F.coalesce(accepted, F.lit(0).cast("bigint")).alias("accepted"), F.coalesce(largest, F.lit(0).cast("bigint")).alias("largest_rejected_bytes"))
+    of = lambda name, k: row(name, F.sum(f"units{k}"), F.sum(f"accepted{k}"), F.max(f"largest{k}"))
+    rows = per.agg(F.array(row("family", F.count(F.lit(1)), F.count_if(good), F.max(F.when(~good, F.col("all")))), of("document", 1), of("pack", 2)).alias("rows")).select(F.inline("rows"))
+    packs = assess(fixed_packs(docs.where(F.length("text") > size), size)).agg(row("pack", F.count(F.lit(1)), F.count_if(ok), F.max(F.when(~ok, data))).alias("row")).select("row.*")
+    return rows.union(packs).groupBy("granularity").agg(F.sum("units").alias("units"), F.sum("accepted").alias("accepted"), F.max("largest_rejected_bytes").alias("largest_rejected_bytes"))

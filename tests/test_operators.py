@@ -365,3 +365,22 @@ def test_chrf_equals_counters_and_shuffles_no_grams(spark):
     df = metrics.chrf(spark.createDataFrame(rows, "g string, seg long, pred string, ref string"), ["g"])
     assert {r.g: pytest.approx(r.chrf, abs=2e-6) for r in df.collect()} == want and set(want) == {"g0", "g1", "g2"}
     assert "explode" not in df._jdf.queryExecution().toString().lower()
+
+
+def test_three_granularities_assess_each_text_once(spark, monkeypatch):
+    words = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(2000))
+    rows = [(1, "a", words), (2, "a", "short"), (3, "b", "word " * 2000), (4, "b", words[:4096]), (5, "c", ""), (6, "c", None), (7, None, words[:4097])]
+    docs = spark.createDataFrame(rows, "doc_id long, family string, text string")
+    want = {}
+    for name, df in (("document", docs), ("pack", quality.fixed_packs(docs))):
+        found = quality.assess(df).select("d.accepted", "f.utf8_bytes").collect()
+        want[name] = (len(found), sum(r.accepted for r in found), max([r.utf8_bytes for r in found if not r.accepted], default=0))
+    size, good = {}, {}
+    for r in quality.assess(docs).collect():
+        size[r.family], good[r.family] = size.get(r.family, 0) + r.f.utf8_bytes, good.get(r.family, 0) + r.f.utf8_bytes * r.d.accepted
+    bad = [n for k, n in size.items() if 2 * good[k] < n]
+    want["family"] = (len(size), len(size) - len(bad), max(bad, default=0))
+    inputs, real = [], quality.assess
+    monkeypatch.setattr(quality, "assess", lambda df, *a, **k: (inputs.append(df), real(df, *a, **k))[1])
+    assert {r.granularity: tuple(r)[1:] for r in quality.three_granularities(docs).collect()} == want
+    assert [df.count() for df in inputs] == [7, 9]  # before: the documents twice, and every pack
