@@ -384,3 +384,16 @@ def test_three_granularities_assess_each_text_once(spark, monkeypatch):
     monkeypatch.setattr(quality, "assess", lambda df, *a, **k: (inputs.append(df), real(df, *a, **k))[1])
     assert {r.granularity: tuple(r)[1:] for r in quality.three_granularities(docs).collect()} == want
     assert [df.count() for df in inputs] == [7, 9]  # before: the documents twice, and every pack
+
+
+def test_lineage_chain_starts_at_every_event(spark, tmp_path):
+    import duckdb
+
+    from loomfield.plans import registry
+
+    ids = [*range(-3, 300), 98, 98, None, 2**40 + 1]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    got = {(r.root, r.length) for r in registry.QUERIES["lineage_chain"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    assert got == set(con.execute(registry.ORACLES["lineage_chain"]).fetchall()) and {r for r, _ in got} == set(ids)
