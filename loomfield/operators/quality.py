@@ -215,7 +215,7 @@ def fixed_packs(docs: DataFrame, size: int = 4096) -> DataFrame:
 
 
 def three_granularities(docs: DataFrame, family: str = "family", size: int = 4096) -> DataFrame:
-    """Acceptance by whole family, by document and by fixed pack: (granularity, units, accepted, largest_rejected_bytes).
+    """Acceptance by family (a vote of its documents by bytes, not the whole-source decision of ``compare_granularities``), by document and by fixed pack: (granularity, units, accepted, largest_rejected_bytes).
 
     Each text is assessed once, for family and document; one of at most ``size`` characters is its own only pack, so only packs of longer ones are assessed besides.
     """
@@ -230,3 +230,44 @@ def three_granularities(docs: DataFrame, family: str = "family", size: int = 409
     rows = per.agg(F.array(row("family", F.count(F.lit(1)), F.count_if(good), F.max(F.when(~good, F.col("all")))), of("document", 1), of("pack", 2)).alias("rows")).select(F.inline("rows"))
     packs = assess(fixed_packs(docs.where(F.length("text") > size), size)).agg(row("pack", F.count(F.lit(1)), F.count_if(ok), F.max(F.when(~ok, data))).alias("row")).select("row.*")
     return rows.union(packs).groupBy("granularity").agg(F.sum("units").alias("units"), F.sum("accepted").alias("accepted"), F.max("largest_rejected_bytes").alias("largest_rejected_bytes"))
+
+
+def whole_sources(docs: DataFrame, family: str = "family") -> DataFrame:
+    """family, accepted, bytes: the decision on each family's joined text, its documents by doc_id without anything between.
+
+    A text of more than max_chars is rejected whatever else it holds, so only shorter ones are joined: a row has max_chars characters at most.
+    """
+    t = docs.select(F.col(family).alias("family"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    sizes = t.groupBy("family").agg(F.sum(F.length("text")).alias("chars"), F.sum(F.octet_length("text")).cast("bigint").alias("bytes"))
+    short = sizes.where(F.col("chars") <= NATURAL["max_chars"]).select(F.col("family").alias("source"), "bytes")
+    joined = t.where("text <> ''").join(short.select(F.col("source").alias("k")), F.col("family").eqNullSafe(F.col("k")), "left_semi").groupBy("family").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "").alias("text"))
+    whole = short.join(joined, F.col("source").eqNullSafe(F.col("family")), "left").select("source", "bytes", F.coalesce("text", F.lit("")).alias("text"))
+    long = sizes.where(F.col("chars") > NATURAL["max_chars"]).select("family", F.lit(False).alias("accepted"), "bytes")
+    return assess(whole).select(F.col("source").alias("family"), F.col("d.accepted").alias("accepted"), "bytes").union(long)
+
+
+def compare_granularities(docs: DataFrame, family: str = "family", size: int = 4096) -> DataFrame:
+    """Decisions on whole sources, documents, fixed packs and the windows of the frozen policy: (granularity, units, accepted, largest_rejected_bytes, disagreements).
+
+    disagreements: families whose whole-source decision differs from "all documents", "all packs, if any" and "some bytes retained"; their sum is the
+    reference's count over all families. A document is its own only window up to TRIGGER characters, and its own only pack up to ``size``.
+    """
+    ok, data, chars = F.col("d.accepted"), F.col("f.utf8_bytes"), F.col("f.chars")
+    d = docs.select(F.col(family).alias("family"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+
+    def units(name, rows, ok, data):
+        return rows.groupBy("family").agg(F.count(F.lit(1)).alias("units"), F.count_if(ok).alias("accepted"), F.max(F.when(~ok, data)).alias("largest"), F.sum(F.when(ok, data).otherwise(0)).alias("kept")).withColumn("granularity", F.lit(name))
+
+    assessed = assess(d)
+    cuts = F.transform(windows(F.col("text")), lambda w: F.substring(F.col("text"), w["start"] + 1, w["end"] - w["start"]))
+    packs = fixed_packs(d.where(F.length("text") > size).select(F.struct("family", "doc_id").alias("doc_id"), "text"), size).select("doc_id.family", "text")
+    split = d.where(F.length("text") > TRIGGER).select("family", F.explode(cuts).alias("text"))
+    per = units("document", assessed, ok, data).union(units("pack", assessed.where(chars.between(1, size)), ok, data)).union(units("pack", assess(packs), ok, data))
+    per = per.union(units("window", assessed.where(chars <= TRIGGER), ok, data)).union(units("window", assess(split), ok, data))
+    per = per.groupBy("granularity", "family").agg(*[f(c).alias(c) for f, c in ((F.sum, "units"), (F.sum, "accepted"), (F.max, "largest"), (F.sum, "kept"))])
+    whole = whole_sources(d)
+    sources = whole.select(F.col("family").alias("source"), F.col("accepted").alias("whole"))
+    agreed = F.when(F.col("granularity") == "window", F.col("kept") > 0).otherwise(F.col("accepted") == F.col("units"))
+    rows = per.join(sources, F.col("family").eqNullSafe(F.col("source"))).select("granularity", "units", "accepted", "largest", (F.col("whole") != agreed).alias("apart"))
+    own = whole.select(F.lit("family").alias("granularity"), F.lit(1).cast("bigint").alias("units"), F.col("accepted").cast("bigint").alias("accepted"), F.when(~F.col("accepted"), F.col("bytes")).alias("largest"), F.lit(False).alias("apart"))
+    return rows.union(own).groupBy("granularity").agg(F.sum("units").alias("units"), F.sum("accepted").alias("accepted"), F.coalesce(F.max("largest"), F.lit(0).cast("bigint")).alias("largest_rejected_bytes"), F.count_if(F.col("apart")).alias("disagreements"))

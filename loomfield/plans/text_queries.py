@@ -223,8 +223,8 @@ def _(spark, d):
 
 @query("quality_three_granularities")
 def _(spark, d):
-    """QLT-06."""
-    return quality.three_granularities(corpus(spark, d))
+    """QLT-06 (tested against decisions on joined texts)."""
+    return quality.compare_granularities(corpus(spark, d))
 
 
 @query("fixed_packs", """

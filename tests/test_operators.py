@@ -397,3 +397,34 @@ def test_lineage_chain_starts_at_every_event(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
     assert got == set(con.execute(registry.ORACLES["lineage_chain"]).fetchall()) and {r for r, _ in got} == set(ids)
+
+
+def test_compare_granularities_decides_on_whole_sources(spark):
+    words = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" for i in range(2000))
+    other = " ".join(f"other{chr(97 + i * 7 % 26)}{chr(97 + i // 5 % 26)}" for i in range(2500))
+    rows = [(2, "a", words), (1, "a", "short"), (3, "b", "word " * 2000), (4, "b", words[:4096]), (5, "c", ""), (6, "c", None), (7, None, words[:4097]), (8, "d", other + "\n" + "word " * 4000 + "\n" + words)]
+    rows += [(10 + i, "e", words) for i in range(17)] + [(40, "f", words[:35]), (41, "f", words[35:90])]  # e: each accepted, too long together; f: each too short, accepted together
+    docs = spark.createDataFrame(rows, "doc_id long, family string, text string")
+
+    def decide(texts):
+        if not texts:
+            return []
+        found = quality.assess(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id", "d.accepted", "f.utf8_bytes").sort("doc_id").collect()
+        return [(r.accepted, r.utf8_bytes) for r in found]
+
+    families = {}
+    for _, f, t in sorted(rows, key=lambda r: r[0]):
+        families.setdefault(f, []).append(t or "")
+    spans = {r.doc_id: r.w for r in docs.where(F.length("text") > quality.TRIGGER).select("doc_id", quality.windows(F.col("text")).alias("w")).collect()}
+    cut = {t: [t[s.start : s.end] for s in spans[i]] if i in spans else [t] for i, _, t in rows if t}
+    kinds = {"family": lambda t: ["".join(t)], "document": lambda t: t, "pack": lambda t: [x[i : i + 4096] for x in t for i in range(0, len(x), 4096)], "window": lambda t: [w for x in t for w in cut.get(x, [x])]}
+    made = {k: {f: decide(of(t)) for f, t in families.items()} for k, of in kinds.items()}
+    whole = {f: d[0][0] for f, d in made["family"].items()}
+    assert whole["f"] and not whole["e"] and not whole["c"] and spans
+    want = {}
+    for k, by in made.items():
+        flat = [x for d in by.values() for x in d]
+        agreed = {f: any(a and n for a, n in d) if k == "window" else all(a for a, _ in d) for f, d in by.items() if d}
+        want[k] = (len(flat), sum(a for a, _ in flat), max([n for a, n in flat if not a], default=0), sum(whole[f] != v for f, v in agreed.items()))
+    assert {r.granularity: tuple(r)[1:] for r in quality.compare_granularities(docs).collect()} == want
+    assert sum(w[3] for w in want.values()) > 3
