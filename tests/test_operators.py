@@ -386,6 +386,56 @@ def test_three_granularities_assess_each_text_once(spark, monkeypatch):
     assert [df.count() for df in inputs] == [7, 9]  # before: the documents twice, and every pack
 
 
+def _near_corpus(seed, n):
+    import random
+
+    rng = random.Random(seed)
+    vocabulary = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "nu", "pé", "ß") for b in ("ra", "to", "zi", "ve") for c in ("", "n", "st", "7", "42")]
+    texts = []
+    for i in range(n):
+        if i % 3 and texts:
+            w = rng.choice(texts).split(" ")
+            for _ in range(rng.randrange(5)):
+                w[rng.randrange(len(w))] = rng.choice(vocabulary)
+            texts.append(" ".join(w).upper() if i % 7 == 0 else " ".join(w))
+        else:
+            texts.append(" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(4, 60))))
+    return texts
+
+
+def test_near_links_equal_brute_force_in_tiles(spark, monkeypatch):
+    texts = [*_near_corpus(5, 90), None, "", " Straße\x1c ﬁn ​　x\u0085y\n ", *["a copy of one text that occurs more often than once in here"] * 3, *[f"case {k} of the lower house on matters of trade, page {k + 8}" for k in (1, 5, 777)]]
+    monkeypatch.setattr(overlap, "TILE_PAIRS", 7)
+    monkeypatch.setattr(overlap, "TILE_TEXTS", 3)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folds = [r.f for r in docs.select("doc_id", T.near_fold(F.coalesce("text", F.lit(""))).alias("f")).sort("doc_id").collect()]
+    assert folds == [overlap.near_form(t or "") for t in texts]
+    pairs = [p for p in itertools.combinations(range(len(texts)), 2) if folds.index(folds[p[0]]) == p[0] and (folds.index(folds[p[1]]) == p[1] or folds[p[0]] == folds[p[1]])]
+    kinds = overlap.near_kind.func(*[overlap.pd.Series([folds[p[k]] for p in pairs]) for k in (0, 1)])
+    want = sorted((*p, k) for p, k in zip(pairs, kinds, strict=True) if k)
+    assert len({k for *_, k in want}) == 3
+    assert sorted(map(tuple, overlap.near_links(docs).collect())) == want
+
+
+def _scratch_of(spark, query):
+    from pathlib import Path
+
+    from loomfield.operators.graph import shared_folder
+
+    top = Path(shared_folder(spark).removeprefix("file://"))
+    held = lambda: sum(p.stat().st_size for p in top.rglob("*") if p.is_file())
+    before = held()
+    query().collect()
+    return held() - before
+
+
+@pytest.mark.parametrize("name", ["near_links", "near_across", "near_families"])
+def test_near_queries_leave_less_scratch_than_input(spark, name):
+    texts = [" ".join(f"w{(i * 7919 + k * k * (i % 13 + 1)) % 1777}" for k in range(150)) for i in range(600)]
+    docs = spark.createDataFrame([(i, f"f{i % 3}", t) for i, t in enumerate(texts)], "doc_id long, family string, text string")
+    assert _scratch_of(spark, lambda: getattr(overlap, name)(docs)) < sum(map(len, texts))
+
+
 def test_lineage_chain_starts_at_every_event(spark, tmp_path):
     import duckdb
 
